@@ -1,5 +1,5 @@
 from .aggregating import ColumnAggregate, aggregating_state, sum_aggregate
-from .histogram import histogram_parts, histogram_rows
+from .histogram import histogram_parts, histogram_rows, nest_histogram
 from .listing import list_parts, list_rows
 from .reducing import COMBINERS, reducing_state, reducing_state_ordered
 from .routing import route
@@ -13,6 +13,7 @@ __all__ = [
     "histogram_rows",
     "list_parts",
     "list_rows",
+    "nest_histogram",
     "reducing_state",
     "reducing_state_ordered",
     "route",

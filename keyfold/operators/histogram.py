@@ -26,13 +26,22 @@ def entries() -> Column:
 def histogram_parts(records: DataFrame, per_row: int = HOT_ROWS) -> DataFrame:
     """(key, part, entries): entries is an array of (value, n), ascending by value."""
     records = records.select("key", "value")
+    # A key with few rows has few values: hot keys are found without counting values.
     hot = find_hot(records, per_row)
     ordinary, heavy = split(records, hot)
-    out = histogram_rows(ordinary).groupBy("key").agg(entries().alias("entries"))
+    return _nest(histogram_rows(ordinary), None if hot is None else histogram_rows(heavy), hot)
+
+
+def nest_histogram(long_form: DataFrame, per_row: int = HOT_ROWS) -> DataFrame:
+    """The nested form from (key, value, n) rows, one per key and value."""
+    hot = find_hot(long_form, per_row)
+    return _nest(*split(long_form, hot), hot)
+
+
+def _nest(ordinary: DataFrame, heavy: DataFrame | None, hot: HotKeys | None) -> DataFrame:
+    out = ordinary.groupBy("key").agg(entries().alias("entries"))
     out = out.select("key", F.lit(0).cast("bigint").alias("part"), "entries")
-    if heavy is None:
-        return out
-    return out.unionByName(entry_parts(histogram_rows(heavy), hot))
+    return out if heavy is None else out.unionByName(entry_parts(heavy, hot))
 
 
 def entry_parts(long_form: DataFrame, hot: HotKeys) -> DataFrame:

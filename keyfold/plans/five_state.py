@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from .. import names
 from ..functions.text import histogram_text, list_text, scalar_text, state_line
 from ..operators.aggregating import ColumnAggregate, aggregate_placed, sum_aggregate
-from ..operators.histogram import entries, entry_parts, histogram_rows
-from ..operators.listing import parts_placed
+from ..operators.histogram import entries, entry_parts, histogram_rows, nest_histogram
+from ..operators.listing import list_parts, parts_placed
 from ..operators.reducing import Merge, fold, reduce_placed
 from ..operators.value import value_state
 from .hot import HOT_ROWS, find_hot, positions, split
@@ -124,6 +124,28 @@ def result_lines(states: DataFrame) -> DataFrame:
     )
 
 
-def with_side_output(records: DataFrame, state: DataFrame) -> Outputs:
-    """Records pass unchanged; the state leaves on the side."""
-    return Outputs(records=records.select("seq", "key", "value"), state=state)
+def table_lines(tables: dict[str, DataFrame], per_row: int = HOT_ROWS) -> DataFrame:
+    """(operator, key, part, line) from state tables, as a stream's ``results`` gives them.
+
+    Scalars are (key, one column), the list (key, seq, value), the map (key, value, n).
+    """
+    lines = None
+    for operator, table in tables.items():
+        if operator == names.LIST:
+            parts = list_parts(table, per_row)
+            rows = parts.select("key", "part", list_text(F.col("items")).alias("payload"))
+        elif operator == names.MAP:
+            parts = nest_histogram(table, per_row)
+            rows = parts.select("key", "part", histogram_text(F.col("entries")).alias("payload"))
+        else:
+            (column,) = (c for c in table.columns if c != "key")
+            first = F.lit(0).cast("bigint").alias("part")
+            rows = table.select("key", first, scalar_text(F.col(column)).alias("payload"))
+        rows = rows.select(
+            F.lit(operator).alias("operator"),
+            "key",
+            "part",
+            state_line(F.col("key"), F.col("payload")).alias("line"),
+        )
+        lines = rows if lines is None else lines.unionByName(rows)
+    return lines

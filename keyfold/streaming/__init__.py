@@ -1,4 +1,5 @@
 from .backends import BACKENDS, state_settings
+from .batch_log import log_batches
 from .builtin import BuiltinJob
 from .processor import ProcessorJob, PythonAggregate
 from .savepoint import Savepoint, SavepointError
@@ -10,5 +11,6 @@ __all__ = [
     "PythonAggregate",
     "Savepoint",
     "SavepointError",
+    "log_batches",
     "state_settings",
 ]
