@@ -36,7 +36,8 @@ from .operators import (
     value_state,
 )
 from .plans import checks
-from .plans.five_state import as_text, keyed_state, result_lines, table_lines
+from .plans.five_state import keyed_state
+from .plans.payloads import as_text, result_lines, state_payloads, table_payloads
 from .plans.sinks import read_lines, write_lines
 from .sources import events_as_sequence, events_keyed, land_slices, open_slices, table
 from .streaming import BuiltinJob, ProcessorJob, log_batches
@@ -156,7 +157,8 @@ from counts where m > 0""",
 def expected_list(spark, sf_dir):
     total = table(spark, sf_dir, "events").count()
     parts = checks.expected_parts(spark, total, KEYS)
-    return parts.select("key", "part", list_text(F.col("expected")).alias("items"))
+    items = checks.expected_items(F.col("m"), F.col("part"))
+    return parts.select("key", "part", list_text(items).alias("items"))
 
 
 # The keyed operators
@@ -354,7 +356,7 @@ def five_state(spark, sf_dir):
 
 @register("five_state_lines", _FIVE_LINES)
 def _(spark, sf_dir):
-    return result_lines(keyed_state(events_keyed(spark, sf_dir)))
+    return result_lines(state_payloads(keyed_state(events_keyed(spark, sf_dir))))
 
 
 @register(
@@ -413,7 +415,7 @@ def _restored(spark, sf_dir, first, second):
     job, stream, land_rest = _stopped(spark, sf_dir, first)
     saved = job.savepoint(fresh_dir(spark, "savepoint"))
     land_rest()
-    return table_lines(second(stream, saved).run().results())
+    return result_lines(table_payloads(second(stream, saved).run().results()))
 
 
 def _builtin(spark, backend, partitions=None, **more):
@@ -467,7 +469,7 @@ def _(spark, sf_dir):
     """Stopped half-way and started again on the same checkpoints."""
     job, _, land_rest = _stopped(spark, sf_dir, _builtin(spark, "rocksdb_incre"))
     land_rest()
-    return table_lines(job.run().results())
+    return result_lines(table_payloads(job.run().results()))
 
 
 @register("end_of_input_flush", _FIVE_LINES)
@@ -475,7 +477,7 @@ def _(spark, sf_dir):
     """One stream to the end of its input, then a line for every key."""
     path, cut = _land(spark, sf_dir)
     job = _builtin(spark, "hashmap")(_open(spark, sf_dir, path, cut)).run()
-    return table_lines(job.results())
+    return result_lines(table_payloads(job.results()))
 
 
 @register("state_scan", _with(_KEYED) + _HISTOGRAM)
@@ -746,7 +748,7 @@ expected as (
 )
 def _(spark, sf_dir):
     records, total = _indexed(spark, sf_dir)
-    return checks.check_report(keyed_state(records), total, KEYS)
+    return checks.check_report(state_payloads(keyed_state(records)), total, KEYS)
 
 
 @register(
@@ -771,7 +773,7 @@ def _(spark, sf_dir):
     records, total = _indexed(spark, sf_dir)
     less = {c: F.col(c) - 1 for c in (names.VALUE, names.REDUCING, names.AGGREGATING)}
     damaged = _damage(keyed_state(records), less)
-    return checks.faults(checks.check_report(damaged, total, KEYS))
+    return checks.faults(checks.check_report(state_payloads(damaged), total, KEYS))
 
 
 @register(

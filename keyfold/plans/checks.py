@@ -6,6 +6,8 @@ Status is one of ``ok``, ``wrong``, ``missing``, ``extra``, ``duplicate``. All b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import names
@@ -44,28 +46,42 @@ def expected_totals(spark: SparkSession, total: int, keys: int) -> DataFrame:
 def expected_parts(
     spark: SparkSession, total: int, keys: int, per_row: int = HOT_ROWS
 ) -> DataFrame:
-    """(key, part, expected): 0 … m-1 per key, cut every ``per_row``.
+    """(key, part, m): the parts in which the m values of each key are held.
 
-    A key with no records has no row: it has no state either.
+    A key with no records has no row: it has no state either. Rows are spread by
+    (key, part), as one key may have many.
     """
     counts = expected_counts(spark, total, keys).filter(F.col("m") > 0)
     last_part = int_div(F.col("m") - 1, per_row)
-    cut = counts.select(
-        "key", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)).alias("part")
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)).alias("part")
+    return counts.select("key", parts, "m").repartition("key", "part")
+
+
+def expected_items(m: Column, part: Column, per_row: int = HOT_ROWS) -> Column:
+    """The list elements of one part: 0 … m-1, cut every ``per_row``."""
+    start = part * per_row
+    return F.when(m > start, F.sequence(start, F.least(start + per_row, m) - 1))
+
+
+def expected_entries(items: Column) -> Column:
+    """Map entries of the sequence: each value once."""
+    return F.transform(
+        items, lambda v: F.struct(v.alias("value"), F.lit(1).cast("bigint").alias("n"))
     )
-    start = F.col("part") * per_row
-    stop = F.least(start + per_row, F.col("m")) - 1
-    return cut.select("key", "part", F.sequence(start, stop).alias("expected"))
 
 
 def compare(
-    result: DataFrame, expected: DataFrame, on: tuple[str, ...] = ("key",)
+    result: DataFrame,
+    expected: DataFrame,
+    on: tuple[str, ...] = ("key",),
+    expand: Callable[[Column], Column] = lambda expected: expected,
 ) -> DataFrame:
     """(*on, found, expected, status) for every row of either side.
 
     ``result`` has the columns ``on`` and ``found``, ``expected`` those and
     ``expected``. One grouping over both sides: a key of the result is looked at
-    once, however often it comes, and nothing is joined.
+    once, however often it comes, and nothing is joined. ``expand`` makes what must
+    be found from a short form of it, after the shuffle.
     """
     both = result.select(*on, "found", F.lit(True).alias("is_result")).unionByName(
         expected.select(*on, "expected", F.lit(False).alias("is_result")),
@@ -84,7 +100,8 @@ def compare(
         .when(F.col("found").eqNullSafe(F.col("expected")), "ok")
         .otherwise("wrong")
     )
-    return seen.select(*on, "found", "expected", status.alias("status"))
+    full = seen.withColumn("expected", expand(F.col("expected")))
+    return full.select(*on, "found", "expected", status.alias("status"))
 
 
 def faults(compared: DataFrame) -> DataFrame:
@@ -97,65 +114,68 @@ def check_totals(totals: DataFrame, total: int, keys: int, column: str = "total"
     return compare(found, expected_totals(totals.sparkSession, total, keys))
 
 
+def _compare_parts(
+    found: DataFrame, total: int, keys: int, per_row: int, make: Callable[[Column], Column]
+) -> DataFrame:
+    parts = expected_parts(found.sparkSession, total, keys, per_row)
+    return compare(
+        found,
+        parts.withColumnRenamed("m", "expected"),
+        on=("key", "part"),
+        expand=lambda m: make(expected_items(m, F.col("part"), per_row)),
+    )
+
+
 def check_list(parts: DataFrame, total: int, keys: int, per_row: int = HOT_ROWS) -> DataFrame:
     """List state (key, part, items), order included."""
     found = parts.select("key", "part", F.col("items").alias("found"))
-    expected = expected_parts(parts.sparkSession, total, keys, per_row)
-    return compare(found, expected, on=("key", "part"))
+    return _compare_parts(found, total, keys, per_row, lambda items: items)
 
 
 def check_histogram(
     parts: DataFrame, total: int, keys: int, per_row: int = HOT_ROWS
 ) -> DataFrame:
     """Map state (key, part, entries): each of 0 … m-1 once."""
-    expected = expected_parts(parts.sparkSession, total, keys, per_row)
-    once = F.transform(
-        "expected", lambda v: F.struct(v.alias("value"), F.lit(1).cast("bigint").alias("n"))
-    )
     found = parts.select("key", "part", F.col("entries").alias("found"))
-    return compare(found, expected.withColumn("expected", once), on=("key", "part"))
+    return _compare_parts(found, total, keys, per_row, expected_entries)
 
 
-def check_report(states: DataFrame, total: int, keys: int, per_row: int = HOT_ROWS) -> DataFrame:
-    """(operator, key, part, found, expected, status) of all five states, as text.
+def check_report(
+    payloads: DataFrame,
+    total: int,
+    keys: int,
+    operators: tuple[str, ...] = names.OPERATORS,
+    per_row: int = HOT_ROWS,
+) -> DataFrame:
+    """(operator, key, part, found, expected, status) of all operators, as text.
 
-    ``states`` is the wide table of ``keyed_state``. The rows are tagged with their
-    operator and compared in a single grouping.
+    ``payloads`` is (operator, key, part, payload). All are compared in one grouping.
     """
-    spark = states.sparkSession
+    spark = payloads.sparkSession
+    scalars = [o for o in operators if o not in (names.LIST, names.MAP)]
+    nested = [o for o in operators if o in (names.LIST, names.MAP)]
+
+    def tagged(rows: DataFrame, wanted: list[str]) -> DataFrame:
+        tags = F.array(*(F.lit(o) for o in wanted)).cast("array<string>")
+        return rows.withColumn("operator", F.explode(tags))
+
+    counts = expected_counts(spark, total, keys).withColumn("part", F.lit(0).cast("bigint"))
     parts = expected_parts(spark, total, keys, per_row)
-    sums = expected_totals(spark, total, keys).select(
-        "key", F.lit(0).cast("bigint").alias("part"), F.col("expected").cast("string")
-    )
-    scalars = F.array(*(F.lit(n) for n in (names.VALUE, names.REDUCING, names.AGGREGATING)))
-    wanted = sums.withColumn("operator", F.explode(scalars))
-    ones = F.transform("expected", lambda v: F.struct(v.alias("value"), F.lit(1).alias("n")))
-    for name, text in (
-        (names.LIST, list_text(F.col("expected"))),
-        (names.MAP, histogram_text(ones)),
-    ):
-        wanted = wanted.unionByName(
-            parts.select("key", "part", text.alias("expected"), F.lit(name).alias("operator"))
+    wanted = tagged(counts, scalars).unionByName(tagged(parts, nested))
+
+    def expand(m: Column) -> Column:
+        items = expected_items(m, F.col("part"), per_row)
+        return (
+            F.when(F.col("operator") == names.LIST, list_text(items))
+            .when(F.col("operator") == names.MAP, histogram_text(expected_entries(items)))
+            .otherwise(expected_sum(m).cast("string"))
         )
-    return compare(state_payloads(states), wanted, on=("operator", "key", "part"))
-
-
-def state_payloads(states: DataFrame) -> DataFrame:
-    """(operator, key, part, found): one text payload per operator and row."""
-    payloads: dict[str, Column] = {
-        names.VALUE: F.col(names.VALUE).cast("string"),
-        names.REDUCING: F.col(names.REDUCING).cast("string"),
-        names.AGGREGATING: F.col(names.AGGREGATING).cast("string"),
-        names.LIST: list_text(F.col(names.LIST)),
-        names.MAP: histogram_text(F.col(names.MAP)),
-    }
-    tagged = F.array(
-        *(F.struct(F.lit(n).alias("operator"), p.alias("found")) for n, p in payloads.items())
-    )
-    return (
-        states.select("key", "part", F.explode(tagged).alias("r"))
-        .filter(F.col("r.found").isNotNull())
-        .select("r.operator", "key", "part", "r.found")
+
+    return compare(
+        payloads.withColumnRenamed("payload", "found"),
+        wanted.withColumnRenamed("m", "expected"),
+        on=("operator", "key", "part"),
+        expand=expand,
     )
 
 

@@ -1,31 +1,17 @@
-"""All five operators over the same records in one plan, and their text results."""
+"""All five operators over the same records in one plan."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, functions as F
 
 from .. import names
-from ..functions.text import histogram_text, list_text, scalar_text, state_line
 from ..operators.aggregating import ColumnAggregate, aggregate_placed, sum_aggregate
-from ..operators.histogram import entries, entry_parts, histogram_rows, nest_histogram
-from ..operators.listing import list_parts, parts_placed
+from ..operators.histogram import entries, entry_parts, histogram_rows
+from ..operators.listing import parts_placed
 from ..operators.reducing import Merge, fold, reduce_placed
 from ..operators.value import value_state
 from .hot import HOT_ROWS, find_hot, positions, split
 
-_STATES = (names.VALUE, names.REDUCING, names.AGGREGATING, names.LIST, names.MAP)
-
-
-@dataclass(frozen=True)
-class Outputs:
-    """The two outputs of a keyed stage: its input unchanged, and its state."""
-
-    records: DataFrame
-    state: DataFrame
-
-
 def _add(a, b):
     return a + b
 
@@ -93,59 +79,6 @@ def keyed_state(
     for piece in pieces[1:]:
         stacked = stacked.unionByName(piece, allowMissingColumns=True)
     beyond = stacked.groupBy("key", "part").agg(
-        *(F.first(c, ignorenulls=True).alias(c) for c in _STATES)
+        *(F.first(c, ignorenulls=True).alias(c) for c in names.OPERATORS)
     )
     return out.unionByName(beyond)
-
-
-def as_text(states: DataFrame) -> DataFrame:
-    """The same rows with list and map as text."""
-    return states.withColumns(
-        {names.LIST: list_text(F.col(names.LIST)), names.MAP: histogram_text(F.col(names.MAP))}
-    )
-
-
-def result_lines(states: DataFrame) -> DataFrame:
-    """(operator, key, part, line): the result lines of all five operators."""
-    text = as_text(states)
-    payloads = {n: F.col(n) if n in (names.LIST, names.MAP) else scalar_text(F.col(n)) for n in _STATES}
-    tagged = F.array(
-        *(F.struct(F.lit(n).alias("operator"), p.alias("payload")) for n, p in payloads.items())
-    )
-    return (
-        text.select("key", "part", F.explode(tagged).alias("r"))
-        .filter(F.col("r.payload").isNotNull())
-        .select(
-            F.col("r.operator").alias("operator"),
-            "key",
-            "part",
-            state_line(F.col("key"), F.col("r.payload")).alias("line"),
-        )
-    )
-
-
-def table_lines(tables: dict[str, DataFrame], per_row: int = HOT_ROWS) -> DataFrame:
-    """(operator, key, part, line) from state tables, as a stream's ``results`` gives them.
-
-    Scalars are (key, one column), the list (key, seq, value), the map (key, value, n).
-    """
-    lines = None
-    for operator, table in tables.items():
-        if operator == names.LIST:
-            parts = list_parts(table, per_row)
-            rows = parts.select("key", "part", list_text(F.col("items")).alias("payload"))
-        elif operator == names.MAP:
-            parts = nest_histogram(table, per_row)
-            rows = parts.select("key", "part", histogram_text(F.col("entries")).alias("payload"))
-        else:
-            (column,) = (c for c in table.columns if c != "key")
-            first = F.lit(0).cast("bigint").alias("part")
-            rows = table.select("key", first, scalar_text(F.col(column)).alias("payload"))
-        rows = rows.select(
-            F.lit(operator).alias("operator"),
-            "key",
-            "part",
-            state_line(F.col("key"), F.col("payload")).alias("line"),
-        )
-        lines = rows if lines is None else lines.unionByName(rows)
-    return lines

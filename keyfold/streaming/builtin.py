@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import names
 from ..operators.reducing import COMBINERS, combiner
-from ..plans.five_state import Outputs, table_lines
+from ..plans.payloads import Outputs, result_lines, table_payloads
 from ..workdir import materialize
 from .backends import backend_settings, state_settings
 from .savepoint import Consumed, Savepoint, SavepointError, next_position
@@ -128,7 +128,7 @@ class BuiltinJob:
         consumed = self.consumed()
         if consumed is None:
             raise SavepointError("nothing is committed yet")
-        return Outputs(self._list_rows(consumed), table_lines(self.results()))
+        return Outputs(self._list_rows(consumed), result_lines(table_payloads(self.results())))
 
     def savepoint(self, path: str, source: DataFrame | None = None) -> Savepoint:
         """Write the state as of the last committed batch. Stop the queries first.

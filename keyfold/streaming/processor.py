@@ -89,20 +89,27 @@ class KeyedStates(StatefulProcessor):
         return iter(())
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """Add snapshot rows of this key; they may come in several calls."""
-        for row in initialState.itertuples(index=False):
-            if row.operator == names.VALUE:
-                self._add_total(int(row.value))
-            elif row.operator == names.REDUCING:
-                self._reduce_with(int(row.value))
-            elif row.operator == names.AGGREGATING:
+        """Take over snapshot rows of this key; they may come in several calls.
+
+        A list element and a map entry is in the snapshot once, so neither is looked
+        up before it is written.
+        """
+        for operator, rows in initialState.groupby("operator"):
+            if operator == names.VALUE:
+                self._add_total(int(rows["value"].sum()))
+            elif operator == names.REDUCING:
+                self._reduce_with(functools.reduce(self.reduce, rows["value"].tolist()))
+            elif operator == names.AGGREGATING:
                 state = self.states[names.AGGREGATING]
-                acc = tuple(json.loads(row.acc))
-                state.update(self.aggregate.merge(tuple(state.get()), acc) if state.exists() else acc)
-            elif row.operator == names.LIST:
-                self.states[names.LIST].appendValue((int(row.seq), int(row.value)))
-            elif row.operator == names.MAP:
-                self._add_entry(int(row.value), int(row.n))
+                accs = [tuple(json.loads(acc)) for acc in rows["acc"]]
+                accs += [tuple(state.get())] if state.exists() else []
+                state.update(functools.reduce(self.aggregate.merge, accs))
+            elif operator == names.LIST:
+                pairs = list(zip(rows["seq"].tolist(), rows["value"].tolist()))
+                self.states[names.LIST].appendList(pairs)
+            elif operator == names.MAP:
+                for value, n in zip(rows["value"].tolist(), rows["n"].tolist()):
+                    self.states[names.MAP].updateValue((value,), (n,))
 
     def close(self) -> None:
         pass
