@@ -1,4 +1,4 @@
-from .sequence import indexed_records, sequence
+from .sequence import indexed_records, sequence, sequence_stream
 from .slices import land_slices, open_slices
 from .tables import events_as_sequence, events_keyed, table
 
@@ -9,5 +9,6 @@ __all__ = [
     "land_slices",
     "open_slices",
     "sequence",
+    "sequence_stream",
     "table",
 ]

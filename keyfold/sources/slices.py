@@ -32,6 +32,8 @@ def land_slices(
     per micro-batch. ``only`` lands some slices now and leaves the rest for later.
     """
     low, high = records.agg(F.min("seq"), F.max("seq")).first()
+    if low is None:
+        raise ValueError("there are no records to land")
     width = max(1, -(-(high - low + 1) // slices))
     files = files_per_slice or max(1, -(-records.rdd.getNumPartitions() // slices))
     for i in only if only is not None else range(slices):

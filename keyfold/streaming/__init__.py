@@ -3,6 +3,7 @@ from .batch_log import log_batches
 from .builtin import BuiltinJob
 from .processor import ProcessorJob, PythonAggregate
 from .savepoint import Savepoint, SavepointError
+from .trial import Setup, savepoint_trial
 
 __all__ = [
     "BACKENDS",
@@ -11,6 +12,8 @@ __all__ = [
     "PythonAggregate",
     "Savepoint",
     "SavepointError",
+    "Setup",
     "log_batches",
+    "savepoint_trial",
     "state_settings",
 ]

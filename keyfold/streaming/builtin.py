@@ -8,8 +8,11 @@ store: its long form is the records, appended to Parquet by a second query.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from .. import names
 from ..operators.reducing import COMBINERS, combiner
@@ -27,6 +30,14 @@ _RECORDS, _FIRST, _LAST = ("count", "seq"), ("min", "seq"), ("max", "seq")
 _MEASURES = {**COMBINERS, "count": F.count}
 
 
+def _halt(query: StreamingQuery) -> None:
+    """Stop a query, and pass on the error if it has failed."""
+    failure = query.exception()
+    query.stop()
+    if failure is not None:
+        raise failure
+
+
 class BuiltinJob:
     """A job over a stream of (seq, key, value).
 
@@ -100,6 +111,20 @@ class BuiltinJob:
             query.awaitTermination()
         return self
 
+    def stop(self, queries: list[StreamingQuery], poll_seconds: float = 0.5) -> BuiltinJob:
+        """Stop running queries at one common point, for a savepoint.
+
+        The totals stop first. The list goes on until it holds all they have seen.
+        """
+        totals, *lists = queries
+        _halt(totals)
+        consumed = self.consumed()
+        for query in lists:
+            while consumed and query.isActive and self._held(consumed) < consumed.records:
+                time.sleep(poll_seconds)
+            _halt(query)
+        return self
+
     def consumed(self) -> Consumed | None:
         """Consumed input as committed with the state, or None before the first batch."""
         batch = committed_batch(self.spark, self.checkpoint)
@@ -195,16 +220,24 @@ class BuiltinJob:
 
     def _list_rows(self, consumed: Consumed) -> DataFrame:
         """List elements up to the position of the totals; the list may be ahead."""
-        schema = self.stream.select("key", "seq", "value").schema
-        rows = self.spark.read.schema(schema).parquet(f"{self.home}/list")
-        rows = rows.filter(F.col("seq") <= consumed.last)
-        held = rows.count()
+        held = self._held(consumed)
         if held != consumed.records:
             raise SavepointError(
                 f"the list holds {held} records up to seq {consumed.last}, the totals "
                 f"{consumed.records}: run both queries to the same point"
             )
-        return rows
+        return self._listed(consumed)
+
+    def _listed(self, consumed: Consumed) -> DataFrame:
+        schema = self.stream.select("key", "seq", "value").schema
+        rows = self.spark.read.schema(schema).parquet(f"{self.home}/list")
+        return rows.filter(F.col("seq") <= consumed.last)
+
+    def _held(self, consumed: Consumed) -> int:
+        try:
+            return self._listed(consumed).count()
+        except AnalysisException:  # no batch is written yet
+            return 0
 
     def _merge(self, operator: str, before: DataFrame, after: DataFrame) -> DataFrame:
         both = before.unionByName(after)

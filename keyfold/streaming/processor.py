@@ -26,6 +26,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import StructType
 
 from .. import names
+from ..workdir import materialize
 from .backends import state_settings
 from .savepoint import Consumed, Savepoint, SavepointError, next_position
 from .state import committed_batch, state_rows
@@ -160,6 +161,7 @@ class ProcessorJob:
         self.backend, self.partitions, self.shards = backend, partitions, shards
         self.operators, self.reduce, self.aggregate = operators, reduce, aggregate
         self.base = savepoint
+        self._scanned: dict[int, dict[str, DataFrame]] = {}
         self.before = (
             savepoint.select(operators, stream.schema, drop_others) if savepoint else None
         )
@@ -197,6 +199,14 @@ class ProcessorJob:
             query.awaitTermination()
         return self
 
+    def stop(self, queries: list[StreamingQuery]) -> ProcessorJob:
+        for query in queries:
+            failure = query.exception()
+            query.stop()
+            if failure is not None:
+                raise failure
+        return self
+
     def consumed(self) -> Consumed | None:
         batch = committed_batch(self.spark, self.checkpoint)
         if batch is None:
@@ -221,7 +231,11 @@ class ProcessorJob:
             if self.before is None:
                 raise SavepointError("nothing is committed yet")
             return dict(self.before)
-        return {o: self._table(o, batch) for o in self.operators}
+        if batch not in self._scanned:
+            # Written once: a later read does not load the state again.
+            tables = {o: materialize(self._table(o, batch), o) for o in self.operators}
+            self._scanned = {batch: tables}
+        return dict(self._scanned[batch])
 
     def results(self) -> dict[str, DataFrame]:
         tables = self.flush()
