@@ -128,8 +128,9 @@ class BuiltinJob:
     def consumed(self) -> Consumed | None:
         """Consumed input as committed with the state, or None before the first batch."""
         batch = committed_batch(self.spark, self.checkpoint)
-        if batch is None:
-            return None
+        return None if batch is None else self._consumed(batch)
+
+    def _consumed(self, batch: int) -> Consumed | None:
         row = self._level(batch, _OVERALL).select(
             *(self._measure(m).alias(m[0]) for m in (_RECORDS, _FIRST, _LAST))
         ).first()
@@ -137,7 +138,7 @@ class BuiltinJob:
 
     def flush(self) -> dict[str, DataFrame]:
         """State of every key, by operator: scalars, and long forms of list and map."""
-        return self._state(self.consumed())
+        return self._state(self._scan())
 
     def results(self) -> dict[str, DataFrame]:
         """``flush`` with the aggregate finished: (key, aggregated)."""
@@ -160,7 +161,7 @@ class BuiltinJob:
 
         ``source`` is the input as a static table, for inputs whose ``seq`` has gaps.
         """
-        consumed = self.consumed()
+        consumed = self._scan()
         position = next_position(self.base, consumed, source)
         return Savepoint.write(self.spark, path, self._state(consumed), position)
 
@@ -180,17 +181,29 @@ class BuiltinJob:
 
     def _level(self, batch_id: int, level: int) -> DataFrame:
         """State rows of one grouping set: key, value, held."""
-        if batch_id not in self._scanned:
-            # Buffers are renamed by place. Written once: every operator reads this.
-            held = ", ".join(f"m{i}: bigint" for i in range(len(self._wanted())))
-            rows = state_rows(self.spark, self.checkpoint, batch_id).select(
-                "key.key",
-                "key.value",
-                F.col("key.spark_grouping_id").alias("level"),
-                F.col("value").cast(f"struct<{held}>").alias("held"),
-            )
-            self._scanned = {batch_id: materialize(rows, "state")}
-        return self._scanned[batch_id].filter(F.col("level") == level).drop("level")
+        rows = self._scanned.get(batch_id)
+        if rows is None:
+            rows = self._read(batch_id)
+        return rows.filter(F.col("level") == level).drop("level")
+
+    def _read(self, batch_id: int) -> DataFrame:
+        # Buffers are renamed by place: their own names may repeat.
+        held = ", ".join(f"m{i}: bigint" for i in range(len(self._wanted())))
+        return state_rows(self.spark, self.checkpoint, batch_id).select(
+            "key.key",
+            "key.value",
+            F.col("key.spark_grouping_id").alias("level"),
+            F.col("value").cast(f"struct<{held}>").alias("held"),
+        )
+
+    def _scan(self) -> Consumed | None:
+        """Write the committed state out once, for all operators to read."""
+        batch = committed_batch(self.spark, self.checkpoint)
+        if batch is None:
+            return None
+        if batch not in self._scanned:
+            self._scanned = {batch: materialize(self._read(batch), "state")}
+        return self._consumed(batch)
 
     def _state(self, consumed: Consumed | None) -> dict[str, DataFrame]:
         if consumed is None:

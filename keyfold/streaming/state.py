@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def committed_batch(spark: SparkSession, checkpoint: str) -> int | None:
     """Last committed micro-batch, or None before the first."""
     meta = spark.read.format("state-metadata").load(checkpoint)
-    return meta.agg(F.max("maxBatchId")).first()[0]
+    last = meta.agg(F.max("maxBatchId")).first()[0]
+    # A query that has started and not yet committed reports -1.
+    return None if last is None or last < 0 else last
 
 
 def state_rows(
