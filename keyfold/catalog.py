@@ -40,7 +40,7 @@ from .plans.five_state import keyed_state
 from .plans.payloads import as_text, result_lines, state_payloads, table_payloads
 from .plans.sinks import read_lines, write_lines
 from .sources import events_as_sequence, events_keyed, land_slices, open_slices, table
-from .streaming import BuiltinJob, ProcessorJob, log_batches
+from .streaming import BuiltinJob, ProcessorJob, PythonAggregate, log_batches
 from .workdir import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -482,12 +482,20 @@ def _(spark, sf_dir):
 
 @register("state_scan", _with(_KEYED) + _HISTOGRAM)
 def _(spark, sf_dir):
-    """Entries of a map state variable, read from the checkpoint."""
+    """State of every (key, value), read from the checkpoint."""
     path, cut = _land(spark, sf_dir)
-    make = _processor(spark, "rocksdb", operators=(names.MAP,))
+    make = _builtin(spark, "rocksdb", operators=(names.MAP,))
     return make(_open(spark, sf_dir, path, cut)).run().flush()[names.MAP]
 
 
+@register("state_variable_scan", _with(_KEYED) + "select key, seq, value from keyed")
+def _(spark, sf_dir):
+    """Elements of a list state variable, read from the checkpoint."""
+    path, cut = _land(spark, sf_dir)
+    make = _processor(spark, "rocksdb", operators=(names.LIST,))
+    return make(_open(spark, sf_dir, path, cut)).run().flush()[names.LIST]
+
+
 @register(
     "savepoint_export",
     _with(_KEYED, _CUT)
@@ -532,6 +540,29 @@ def _(spark, sf_dir):
     )
 
 
+@register(
+    "processor_functions_restore",
+    _with(_KEYED)
+    + """select key, max(value) as reduced, cast(sum(value) as bigint) // count(*) as aggregated
+from keyed group by key""",
+)
+def _(spark, sf_dir):
+    """A reduce and an aggregate function in Python, over a stop and a restore."""
+    mean = PythonAggregate(
+        schema="total bigint, n bigint",
+        create=lambda: (0, 0),
+        add=lambda acc, values: (acc[0] + int(values.sum()), acc[1] + len(values)),
+        merge=lambda a, b: (a[0] + b[0], a[1] + b[1]),
+        finish=lambda acc: int_div(acc["total"], acc["n"]),
+    )
+    more = dict(operators=(names.REDUCING, names.AGGREGATING), reduce=max, aggregate=mean)
+    job, stream, land_rest = _stopped(spark, sf_dir, _processor(spark, "rocksdb", 8, **more))
+    saved = job.savepoint(fresh_dir(spark, "savepoint"))
+    land_rest()
+    found = _processor(spark, "rocksdb_incre", 4, **more)(stream, saved).run().results()
+    return found[names.REDUCING].join(found[names.AGGREGATING], "key")
+
+
 @register(
     "side_output_split",
     _with(_KEYED)

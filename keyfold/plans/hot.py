@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..workdir import materialize
 
-# Rows of one key that may meet in one row or one window group.
-HOT_ROWS = 1_000_000
+# Rows of one key that may meet in one row or one group. A list of that many numbers takes
+# some 10 MB while it is collected, and one task holds a hundred or so at a time.
+HOT_ROWS = 100_000
 # Largest small side sent to every executor. Above it the join shuffles.
 BROADCAST_ROWS = 100_000
 # Ranges that rows of hot keys are cut into: one per RANGE_ROWS rows, within bounds

@@ -2,7 +2,9 @@
 
 Each operator is a named state variable: a value, a value folded with the user's
 function, an accumulator, a list and a map. Python runs once per key and batch of
-rows: rows are combined in the task first, then each state is written once.
+rows: rows are combined in the task first, then each state is written once. Every
+state call crosses to the JVM, and the map needs two per distinct value, so leave to
+``BuiltinJob`` what needs no function of the user's: choose ``operators``.
 
 State is grouped by (key, shard). With more than one shard a hot key spreads over
 that many groups, and its partial states are merged when read. For that the reduce
@@ -32,6 +34,8 @@ from .savepoint import Consumed, Savepoint, SavepointError, next_position
 from .state import committed_batch, state_rows
 
 _POSITION = "position"
+# A list entry holds the rows of one frame, side by side.
+_CHUNK = "seqs array<bigint>, items array<bigint>"
 
 # Workers need no copy of this package: its classes and functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__package__.partition(".")[0]])
@@ -63,7 +67,7 @@ class KeyedStates(StatefulProcessor):
             names.VALUE: lambda n: handle.getValueState(n, "total bigint"),
             names.REDUCING: lambda n: handle.getValueState(n, "reduced bigint"),
             names.AGGREGATING: lambda n: handle.getValueState(n, self.aggregate.schema),
-            names.LIST: lambda n: handle.getListState(n, "seq bigint, value bigint"),
+            names.LIST: lambda n: handle.getListState(n, _CHUNK),
             names.MAP: lambda n: handle.getMapState(n, "value bigint", "n bigint"),
         }
         self.states = {n: make[n](n) for n in self.operators}
@@ -78,11 +82,11 @@ class KeyedStates(StatefulProcessor):
                 self._reduce_with(functools.reduce(self.reduce, values.tolist()))
             if names.AGGREGATING in self.states:
                 state = self.states[names.AGGREGATING]
-                acc = tuple(state.get()) if state.exists() else self.aggregate.create()
+                held = state.get()
+                acc = tuple(held) if held else self.aggregate.create()
                 state.update(self.aggregate.add(acc, values))
             if names.LIST in self.states:
-                pairs = list(zip(frame["seq"].tolist(), values.tolist()))
-                self.states[names.LIST].appendList(pairs)
+                self._append(frame)
             if names.MAP in self.states:
                 for value, n in values.value_counts().items():
                     self._add_entry(int(value), int(n))
@@ -102,12 +106,12 @@ class KeyedStates(StatefulProcessor):
                 self._reduce_with(functools.reduce(self.reduce, rows["value"].tolist()))
             elif operator == names.AGGREGATING:
                 state = self.states[names.AGGREGATING]
+                held = state.get()
                 accs = [tuple(json.loads(acc)) for acc in rows["acc"]]
-                accs += [tuple(state.get())] if state.exists() else []
+                accs += [tuple(held)] if held else []
                 state.update(functools.reduce(self.aggregate.merge, accs))
             elif operator == names.LIST:
-                pairs = list(zip(rows["seq"].tolist(), rows["value"].tolist()))
-                self.states[names.LIST].appendList(pairs)
+                self._append(rows)
             elif operator == names.MAP:
                 for value, n in zip(rows["value"].tolist(), rows["n"].tolist()):
                     self.states[names.MAP].updateValue((value,), (n,))
@@ -117,20 +121,27 @@ class KeyedStates(StatefulProcessor):
 
     def _add_total(self, amount: int) -> None:
         state = self.states[names.VALUE]
-        state.update((state.get()[0] + amount if state.exists() else amount,))
+        held = state.get()
+        state.update((held[0] + amount if held else amount,))
 
     def _reduce_with(self, item: int) -> None:
         state = self.states[names.REDUCING]
-        state.update((self.reduce(state.get()[0], item) if state.exists() else item,))
+        held = state.get()
+        state.update((self.reduce(held[0], item) if held else item,))
+
+    def _append(self, frame: pd.DataFrame) -> None:
+        """Rows of one frame as one list entry: a frame is bounded, the list is not."""
+        chunk = (frame["seq"].tolist(), frame["value"].tolist())
+        self.states[names.LIST].appendValue(chunk)
 
     def _add_entry(self, value: int, n: int) -> None:
         held = self.states[names.MAP].getValue((value,))
         self.states[names.MAP].updateValue((value,), (held[0] + n if held else n,))
 
     def _advance(self, records: int, first: int, last: int) -> None:
-        if self.position.exists():
-            held, low, high = self.position.get()
-            records, first, last = held + records, min(low, first), max(high, last)
+        held = self.position.get()
+        if held:
+            records, first, last = held[0] + records, min(held[1], first), max(held[2], last)
         self.position.update((records, first, last))
 
 
@@ -264,7 +275,10 @@ class ProcessorJob:
         rows = self._variable(operator, batch)
         key = F.col("key.key").alias("key")
         if operator == names.LIST:
-            return rows.select(key, "list_element.seq", "list_element.value")
+            pairs = F.explode(F.arrays_zip("list_element.seqs", "list_element.items"))
+            return rows.select(key, pairs.alias("pair")).select(
+                "key", F.col("pair.seqs").alias("seq"), F.col("pair.items").alias("value")
+            )
         if operator == names.MAP:
             entries = rows.select(key, "user_map_key.value", "user_map_value.n")
             if self.shards == 1:
