@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from keyfold import catalog
 from keyfold.operators import histogram_rows, list_rows, value_state
 from keyfold.plans.five_state import keyed_state
 from keyfold.plans.hot import BROADCAST_ROWS, small_side
@@ -31,6 +32,10 @@ def test_totals_are_combined_before_the_shuffle(spark, sf_dir):
         assert "partial_" in before
 
 
+def test_groupings_reuse_the_keyed_route(spark, sf_dir):
+    assert exchanges(catalog.QUERIES["keyed_route"](spark, sf_dir)) == 1
+
+
 def test_the_long_list_does_not_shuffle(spark, sf_dir):
     assert exchanges(list_rows(events_keyed(spark, sf_dir))) == 0
 

@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 
 from keyfold import names
-from keyfold.operators import histogram_rows, list_rows, value_state
+from keyfold.operators import histogram_rows, list_rows, reducing_state, value_state
 from keyfold.plans import checks
 from keyfold.sources import land_slices, open_slices, sequence, sequence_stream
 from keyfold.streaming import (
@@ -75,6 +75,30 @@ def test_restart_on_the_same_checkpoint(spark, records, source, kind):
     assert_complete(again.flush(), records)
 
 
+@pytest.mark.parametrize(
+    "operator,mode",
+    [
+        (value_state, "complete"),
+        (lambda df: reducing_state(df, "max"), "complete"),
+        (histogram_rows, "complete"),
+        (list_rows, "append"),
+    ],
+)
+def test_operators_are_the_same_calls_on_a_stream(spark, records, source, operator, mode):
+    name = f"out_{os.urandom(4).hex()}"
+    query = (
+        operator(source(0, 1, 2, 3))
+        .writeStream.format("memory")
+        .queryName(name)
+        .outputMode(mode)
+        .option("checkpointLocation", fresh_dir(spark, "job"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert rows(checks.difference(spark.table(name), operator(records))) == []
+
+
 def test_each_batch_is_one_slice(spark, source):
     log = rows(log_batches(spark, source(0, 1, 2, 3), fresh_dir(spark, "job")))
     assert [r[0] for r in log] == [0, 1, 2, 3]
