@@ -7,6 +7,8 @@ entries per row, ascending by value, and goes on in further parts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import int_div
@@ -20,7 +22,34 @@ def histogram_rows(records: DataFrame) -> DataFrame:
 
 def entries() -> Column:
     """Aggregate: (value, n) structs of the group, ascending by value."""
-    return F.array_sort(F.collect_list(F.struct("value", "n")))
+    return F.sort_array(F.collect_list(F.struct("value", "n")))
+
+
+def count_values(items: Column) -> Column:
+    """(value, n) entries of an array, ascending by value: runs of its sorted values.
+
+    Takes time linear in the array after the sort. The sorted array and the starts
+    of its runs are bound as lambda arguments, so that each is made once.
+    """
+
+    def runs(ordered: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ordered) - 1)
+        is_start = lambda i: (i == 0) | ~F.get(ordered, i).eqNullSafe(F.get(ordered, i - 1))
+        return _bind(F.filter(places, is_start), lambda starts: entries_of(ordered, starts))
+
+    def entries_of(ordered: Column, starts: Column) -> Column:
+        def entry(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(ordered))
+            n = (end - start).cast("bigint")
+            return F.struct(F.get(ordered, start).alias("value"), n.alias("n"))
+
+        return F.transform(starts, entry)
+
+    return _bind(F.sort_array(items), runs)
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def histogram_parts(records: DataFrame, per_row: int = HOT_ROWS) -> DataFrame:

@@ -40,7 +40,7 @@ def fold(values: Column, merge: Merge) -> Column:
 
 def ordered(order: str, item: str) -> Column:
     """Aggregate: the ``item`` values of the group as an array, ascending by ``order``."""
-    pairs = F.array_sort(F.collect_list(F.struct(order, item)))
+    pairs = F.sort_array(F.collect_list(F.struct(order, item)))
     return F.transform(pairs, lambda p: p[item])
 
 

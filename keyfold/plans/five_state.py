@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import names
-from ..operators.aggregating import ColumnAggregate, aggregate_placed, sum_aggregate
-from ..operators.histogram import entries, entry_parts, histogram_rows
-from ..operators.listing import parts_placed
-from ..operators.reducing import Merge, fold, reduce_placed
-from ..operators.value import value_state
-from .hot import HOT_ROWS, find_hot, positions, split
+from ..functions.numbers import int_div
+from ..operators.aggregating import ColumnAggregate, sum_aggregate
+from ..operators.histogram import count_values, entry_parts, histogram_rows
+from ..operators.reducing import Merge, fold, merge_levels, ordered
+from ..workdir import materialize
+from .hot import HOT_ROWS, HotKeys, find_hot, positions, split
+
 
 def _add(a, b):
     return a + b
@@ -28,57 +29,67 @@ def keyed_state(
     ``map_state`` an array of (value, n). A hot key has further rows, part 1, 2 …,
     which carry the rest of its list and map and null elsewhere.
 
-    Ordinary keys cost one exchange: rows are placed by key once, then grouped by
-    (key, value) and by key where they are.
+    Ordinary keys cost one exchange and one grouping.
     """
     aggregate = aggregate or sum_aggregate()
     records = records.select("seq", "key", "value")
     hot = find_hot(records, hot_rows)
     ordinary, heavy = split(records, hot)
 
-    pairs = F.transform(F.col("seqs"), lambda s: F.struct(s.alias("seq"), F.col("value")))
-    by_value = (
+    items = F.col(names.LIST)
+    out = (
         ordinary.repartition("key")
-        .groupBy("key", "value")
-        .agg(F.count(F.lit(1)).alias("n"), F.collect_list("seq").alias("seqs"))
-        .withColumn("pairs", pairs)
-    )
-    per_key = by_value.groupBy("key").agg(
-        F.sum(F.col("value") * F.col("n")).alias(names.VALUE),
-        F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"),
-        entries().alias(names.MAP),
+        .groupBy("key")
+        .agg(
+            F.sum("value").alias(names.VALUE),
+            ordered("seq", "value").alias(names.LIST),
+        )
+        .select(
+            "key",
+            F.lit(0).cast("bigint").alias("part"),
+            names.VALUE,
+            fold(items, reduce).alias(names.REDUCING),
+            aggregate.finish(aggregate.accumulate(items)).alias(names.AGGREGATING),
+            names.LIST,
+            count_values(items).alias(names.MAP),
+        )
     )
-    items = F.col(names.LIST)
-    out = per_key.withColumn(names.LIST, F.transform("pairs", lambda p: p["value"])).select(
-        "key",
-        F.lit(0).cast("bigint").alias("part"),
-        names.VALUE,
-        fold(items, reduce).alias(names.REDUCING),
-        aggregate.finish(aggregate.accumulate(items)).alias(names.AGGREGATING),
-        names.LIST,
-        names.MAP,
+    return out if heavy is None else out.unionByName(_hot_states(heavy, hot, reduce, aggregate))
+
+
+def _hot_states(
+    heavy: DataFrame, hot: HotKeys, reduce: Merge, aggregate: ColumnAggregate
+) -> DataFrame:
+    items = F.col("items")
+    # Runs of neighbours, as long as a row may be. Written once for four operators.
+    runs = materialize(
+        positions(heavy, hot, "seq")
+        .groupBy("key", int_div(F.col("pos"), hot.limit).alias("part"))
+        .agg(F.sum("value").alias("subtotal"), ordered("pos", "value").alias("items"))
+        .withColumns(
+            {"reduced": fold(items, reduce), "acc": aggregate.accumulate(items)}
+        ),
+        "hot-runs",
     )
-    if heavy is None:
-        return out
+    runs_per_key = -(-hot.largest // hot.limit)
+
+    def merged(item: str, merge: Merge) -> DataFrame:
+        placed = runs.select("key", F.col("part").alias("pos"), item)
+        return merge_levels(placed, item, merge, runs_per_key, hot.limit)
 
-    placed = positions(heavy, hot, "seq")
     first = F.lit(0).cast("bigint").alias("part")
+    finished = aggregate.finish(F.col("acc")).alias(names.AGGREGATING)
     pieces = [
-        value_state(heavy).select("key", first, F.col("total").alias(names.VALUE)),
-        reduce_placed(placed, reduce, hot).select(
-            "key", first, F.col("reduced").alias(names.REDUCING)
-        ),
-        aggregate_placed(placed, aggregate, hot).select(
-            "key", first, aggregate.finish(F.col("acc")).alias(names.AGGREGATING)
-        ),
-        parts_placed(placed, hot).withColumnRenamed("items", names.LIST),
+        runs.groupBy("key").agg(F.sum("subtotal").alias(names.VALUE)).select("key", first, names.VALUE),
+        merged("reduced", reduce).select("key", first, F.col("reduced").alias(names.REDUCING)),
+        merged("acc", aggregate.merge).select("key", first, finished),
+        runs.select("key", "part", items.alias(names.LIST)),
         entry_parts(histogram_rows(heavy), hot).withColumnRenamed("entries", names.MAP),
     ]
     # Every (key, part) has at most one row per piece, so first() picks, never drops.
     stacked = pieces[0]
     for piece in pieces[1:]:
         stacked = stacked.unionByName(piece, allowMissingColumns=True)
-    beyond = stacked.groupBy("key", "part").agg(
+    return stacked.groupBy("key", "part").agg(
         *(F.first(c, ignorenulls=True).alias(c) for c in names.OPERATORS)
     )
-    return out.unionByName(beyond)

@@ -41,19 +41,22 @@ def find_hot(records: DataFrame, limit: int = HOT_ROWS) -> HotKeys | None:
     """Keys with more than ``limit`` rows, or None.
 
     Runs one job when called: counts are combined before the shuffle, only the key
-    column is read, and one summary row returns.
+    column is read, and one summary row returns. The hot keys themselves are kept
+    cached, few as they are; a lost copy is counted anew.
     """
     hot = (
         records.groupBy(F.col("key").alias("hot_key"))
         .agg(F.count(F.lit(1)).alias("hot_rows"))
         .filter(F.col("hot_rows") > limit)
+        .persist()
     )
     keys, rows, largest = hot.agg(
         F.count(F.lit(1)), F.sum("hot_rows"), F.max("hot_rows")
     ).first()
     if not keys:
+        hot.unpersist()
         return None
-    return HotKeys(materialize(hot, "hot-keys"), keys, rows, largest, limit)
+    return HotKeys(hot, keys, rows, largest, limit)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:

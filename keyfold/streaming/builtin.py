@@ -202,7 +202,7 @@ class BuiltinJob:
         if batch is None:
             return None
         if batch not in self._scanned:
-            self._scanned = {batch: materialize(self._read(batch), "state")}
+            self._scanned = {batch: materialize(self._read(batch), "state", ("level",))}
         return self._consumed(batch)
 
     def _state(self, consumed: Consumed | None) -> dict[str, DataFrame]:
