@@ -418,6 +418,10 @@ def _restored(spark, sf_dir, first, second):
     return result_lines(table_payloads(second(stream, saved).run().results()))
 
 
+def _partitions(spark):
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _builtin(spark, backend, partitions=None, **more):
     def make(stream, savepoint=None):
         home = fresh_dir(spark, "job")
@@ -513,20 +517,23 @@ def _(spark, sf_dir):
 
 @register("savepoint_restore", _FIVE_LINES)
 def _(spark, sf_dir):
-    same = _builtin(spark, "hashmap", 4)
+    same = _builtin(spark, "hashmap", _partitions(spark))
     return _restored(spark, sf_dir, same, same)
 
 
 @register("rescale_restore", _FIVE_LINES)
 def _(spark, sf_dir):
-    return _restored(spark, sf_dir, _builtin(spark, "rocksdb", 8), _builtin(spark, "rocksdb", 16))
+    """State of n partitions gone on from with twice as many."""
+    n = _partitions(spark)
+    return _restored(spark, sf_dir, _builtin(spark, "rocksdb", n), _builtin(spark, "rocksdb", 2 * n))
 
 
 @register("backend_switch_restore", _FIVE_LINES)
 def _(spark, sf_dir):
-    return _restored(
-        spark, sf_dir, _builtin(spark, "hashmap", 4), _builtin(spark, "rocksdb_incre", 2)
-    )
+    """Another backend, and half as many partitions."""
+    n = _partitions(spark)
+    second = _builtin(spark, "rocksdb_incre", max(1, n // 2))
+    return _restored(spark, sf_dir, _builtin(spark, "hashmap", n), second)
 
 
 @register("processor_restore", _FIVE_LINES)
@@ -535,8 +542,8 @@ def _(spark, sf_dir):
     return _restored(
         spark,
         sf_dir,
-        _processor(spark, "rocksdb", 8, shards=2),
-        _processor(spark, "rocksdb_incre", 4, shards=3),
+        _processor(spark, "rocksdb", shards=2),
+        _processor(spark, "rocksdb_incre", max(1, _partitions(spark) // 2), shards=3),
     )
 
 
@@ -556,10 +563,10 @@ def _(spark, sf_dir):
         finish=lambda acc: int_div(acc["total"], acc["n"]),
     )
     more = dict(operators=(names.REDUCING, names.AGGREGATING), reduce=max, aggregate=mean)
-    job, stream, land_rest = _stopped(spark, sf_dir, _processor(spark, "rocksdb", 8, **more))
+    job, stream, land_rest = _stopped(spark, sf_dir, _processor(spark, "rocksdb", **more))
     saved = job.savepoint(fresh_dir(spark, "savepoint"))
     land_rest()
-    found = _processor(spark, "rocksdb_incre", 4, **more)(stream, saved).run().results()
+    found = _processor(spark, "rocksdb_incre", **more)(stream, saved).run().results()
     return found[names.REDUCING].join(found[names.AGGREGATING], "key")
 
 

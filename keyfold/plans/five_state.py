@@ -38,12 +38,8 @@ def keyed_state(
 
     items = F.col(names.LIST)
     out = (
-        ordinary.repartition("key")
-        .groupBy("key")
-        .agg(
-            F.sum("value").alias(names.VALUE),
-            ordered("seq", "value").alias(names.LIST),
-        )
+        ordinary.groupBy("key")
+        .agg(F.sum("value").alias(names.VALUE), ordered("seq", "value").alias(names.LIST))
         .select(
             "key",
             F.lit(0).cast("bigint").alias("part"),

@@ -23,6 +23,7 @@ from keyfold.operators import (
     running_value,
     value_state,
 )
+from keyfold.operators.histogram import count_values
 from keyfold.plans.five_state import keyed_state
 from keyfold.plans.hot import find_hot
 from keyfold.sources import sequence
@@ -159,6 +160,18 @@ def test_no_records_no_state(spark):
     assert rows(keyed_state(df)) == []
 
 
+def test_values_of_an_array_are_counted_in_order(spark):
+    arrays = [([3, 1, 3, 3, 1],), ([5],), ([2, None, 2, None],)]
+    found = spark.createDataFrame(arrays, "items array<bigint>").select(
+        count_values(F.col("items")).alias("entries")
+    )
+    assert [[tuple(e) for e in r.entries] for r in found.collect()] == [
+        [(1, 2), (3, 3)],
+        [(5, 1)],
+        [(None, 2), (2, 2)],
+    ]
+
+
 def test_route_keeps_lanes_together_and_spreads_hot_keys(spark):
     df = sequence(spark, 1000, 1).unionByName(
         sequence(spark, 30, 3).withColumns({"key": F.col("key") + 10, "seq": F.col("seq") + 5000})

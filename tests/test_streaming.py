@@ -277,10 +277,16 @@ def test_python_functions_with_shards(spark, records, source):
     assert_complete(tables, one_key)
 
 
-def test_struct_keys_in_a_stream(spark):
+@pytest.mark.parametrize("kind", [BuiltinJob, ProcessorJob])
+def test_struct_keys_in_a_stream(spark, kind):
     wrapped = sequence_stream(spark, 120, 7, 120, wrapped=True)
     stream = wrapped.selectExpr("seq", "key", "value.value as value")
-    job = BuiltinJob(spark, stream, fresh_dir(spark, "job"), "rocksdb", 2).run()
+    job = kind(spark, stream, fresh_dir(spark, "job"), "rocksdb", 2).run()
+    saved = job.savepoint(fresh_dir(spark, "savepoint"))
+    assert saved.key_type == "struct<value:bigint>"
+    rest = sequence_stream(spark, 120, 7, 1, start=120, wrapped=True)
+    rest = rest.selectExpr("seq", "key", "value.value as value")
+    job = kind(spark, rest, fresh_dir(spark, "job"), "rocksdb_incre", 3, saved).run()
     expected = sequence(spark, 120, 7, wrapped=True).selectExpr("seq", "key", "value.value as value")
     assert_complete(job.flush(), expected)
 
