@@ -418,22 +418,22 @@ def _restored(spark, sf_dir, first, second):
     return result_lines(table_payloads(second(stream, saved).run().results()))
 
 
-def _partitions(spark):
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _partitions(spark, sf_dir):
+    """State partitions: as many as the input has scan partitions, within the session's.
 
+    A stream keeps its count for good, and each partition costs a store per batch.
+    """
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(session, max(4, table(spark, sf_dir, "events").rdd.getNumPartitions()))
 
-def _builtin(spark, backend, partitions=None, **more):
-    def make(stream, savepoint=None):
-        home = fresh_dir(spark, "job")
-        return BuiltinJob(spark, stream, home, backend, partitions, savepoint, **more)
 
-    return make
+def _job(kind, spark, sf_dir, backend, scale=1.0, **more):
+    """Makes a job of ``kind`` with ``scale`` times the usual partitions."""
+    partitions = max(1, int(scale * _partitions(spark, sf_dir)))
 
-
-def _processor(spark, backend, partitions=None, **more):
     def make(stream, savepoint=None):
         home = fresh_dir(spark, "job")
-        return ProcessorJob(spark, stream, home, backend, partitions, savepoint, **more)
+        return kind(spark, stream, home, backend, partitions, savepoint, **more)
 
     return make
 
@@ -459,7 +459,7 @@ from keyed group by key""",
 )
 def _(spark, sf_dir):
     """Records taken before the stop, and those from the saved position on."""
-    job, _, _ = _stopped(spark, sf_dir, _builtin(spark, "rocksdb", operators=(names.LIST,)))
+    job, _, _ = _stopped(spark, sf_dir, _job(BuiltinJob, spark, sf_dir, "rocksdb", operators=(names.LIST,)))
     saved = job.savepoint(fresh_dir(spark, "savepoint"))
     rest = events_keyed(spark, sf_dir).filter(F.col("seq") >= saved.position.next_index)
     both = saved.tables[names.LIST].unionByName(list_rows(rest))
@@ -471,7 +471,7 @@ def _(spark, sf_dir):
 @register("checkpoint_restart", _FIVE_LINES)
 def _(spark, sf_dir):
     """Stopped half-way and started again on the same checkpoints."""
-    job, _, land_rest = _stopped(spark, sf_dir, _builtin(spark, "rocksdb_incre"))
+    job, _, land_rest = _stopped(spark, sf_dir, _job(BuiltinJob, spark, sf_dir, "rocksdb_incre"))
     land_rest()
     return result_lines(table_payloads(job.run().results()))
 
@@ -480,7 +480,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """One stream to the end of its input, then a line for every key."""
     path, cut = _land(spark, sf_dir)
-    job = _builtin(spark, "hashmap")(_open(spark, sf_dir, path, cut)).run()
+    job = _job(BuiltinJob, spark, sf_dir, "hashmap")(_open(spark, sf_dir, path, cut)).run()
     return result_lines(table_payloads(job.results()))
 
 
@@ -488,7 +488,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """State of every (key, value), read from the checkpoint."""
     path, cut = _land(spark, sf_dir)
-    make = _builtin(spark, "rocksdb", operators=(names.MAP,))
+    make = _job(BuiltinJob, spark, sf_dir, "rocksdb", operators=(names.MAP,))
     return make(_open(spark, sf_dir, path, cut)).run().flush()[names.MAP]
 
 
@@ -496,7 +496,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Elements of a list state variable, read from the checkpoint."""
     path, cut = _land(spark, sf_dir)
-    make = _processor(spark, "rocksdb", operators=(names.LIST,))
+    make = _job(ProcessorJob, spark, sf_dir, "rocksdb", operators=(names.LIST,))
     return make(_open(spark, sf_dir, path, cut)).run().flush()[names.LIST]
 
 
@@ -508,7 +508,7 @@ from keyed, cut where seq < next_index group by key, value""",
 )
 def _(spark, sf_dir):
     """The map state and the position of a job stopped half-way."""
-    job, _, _ = _stopped(spark, sf_dir, _builtin(spark, "rocksdb"))
+    job, _, _ = _stopped(spark, sf_dir, _job(BuiltinJob, spark, sf_dir, "rocksdb"))
     saved = job.savepoint(fresh_dir(spark, "savepoint"))
     return saved.tables[names.MAP].withColumn(
         "next_index", F.lit(saved.position.next_index).cast("bigint")
@@ -517,34 +517,31 @@ def _(spark, sf_dir):
 
 @register("savepoint_restore", _FIVE_LINES)
 def _(spark, sf_dir):
-    same = _builtin(spark, "hashmap", _partitions(spark))
+    same = _job(BuiltinJob, spark, sf_dir, "hashmap")
     return _restored(spark, sf_dir, same, same)
 
 
 @register("rescale_restore", _FIVE_LINES)
 def _(spark, sf_dir):
-    """State of n partitions gone on from with twice as many."""
-    n = _partitions(spark)
-    return _restored(spark, sf_dir, _builtin(spark, "rocksdb", n), _builtin(spark, "rocksdb", 2 * n))
+    """Gone on from with twice as many partitions."""
+    first = _job(BuiltinJob, spark, sf_dir, "rocksdb")
+    return _restored(spark, sf_dir, first, _job(BuiltinJob, spark, sf_dir, "rocksdb", scale=2))
 
 
 @register("backend_switch_restore", _FIVE_LINES)
 def _(spark, sf_dir):
     """Another backend, and half as many partitions."""
-    n = _partitions(spark)
-    second = _builtin(spark, "rocksdb_incre", max(1, n // 2))
-    return _restored(spark, sf_dir, _builtin(spark, "hashmap", n), second)
+    first = _job(BuiltinJob, spark, sf_dir, "hashmap")
+    second = _job(BuiltinJob, spark, sf_dir, "rocksdb_incre", scale=0.5)
+    return _restored(spark, sf_dir, first, second)
 
 
 @register("processor_restore", _FIVE_LINES)
 def _(spark, sf_dir):
     """State variables, hot keys spread over shards, another shard count after."""
-    return _restored(
-        spark,
-        sf_dir,
-        _processor(spark, "rocksdb", shards=2),
-        _processor(spark, "rocksdb_incre", max(1, _partitions(spark) // 2), shards=3),
-    )
+    first = _job(ProcessorJob, spark, sf_dir, "rocksdb", shards=2)
+    second = _job(ProcessorJob, spark, sf_dir, "rocksdb_incre", scale=0.5, shards=3)
+    return _restored(spark, sf_dir, first, second)
 
 
 @register(
@@ -563,10 +560,10 @@ def _(spark, sf_dir):
         finish=lambda acc: int_div(acc["total"], acc["n"]),
     )
     more = dict(operators=(names.REDUCING, names.AGGREGATING), reduce=max, aggregate=mean)
-    job, stream, land_rest = _stopped(spark, sf_dir, _processor(spark, "rocksdb", **more))
+    job, stream, land_rest = _stopped(spark, sf_dir, _job(ProcessorJob, spark, sf_dir, "rocksdb", **more))
     saved = job.savepoint(fresh_dir(spark, "savepoint"))
     land_rest()
-    found = _processor(spark, "rocksdb_incre", **more)(stream, saved).run().results()
+    found = _job(ProcessorJob, spark, sf_dir, "rocksdb_incre", **more)(stream, saved).run().results()
     return found[names.REDUCING].join(found[names.AGGREGATING], "key")
 
 
@@ -579,7 +576,7 @@ select 'result', key, key || ' ' || cast(sum(value) as bigint) from keyed group
 )
 def _(spark, sf_dir):
     path, cut = _land(spark, sf_dir)
-    make = _builtin(spark, "rocksdb", operators=(names.VALUE, names.LIST))
+    make = _job(BuiltinJob, spark, sf_dir, "rocksdb", operators=(names.VALUE, names.LIST))
     out = make(_open(spark, sf_dir, path, cut)).run().outputs()
     lines = out.state.filter(F.col("operator") == names.VALUE)
     return out.records.select(
@@ -823,8 +820,8 @@ union all select 'value_state', count(distinct key), 0 from keyed""",
 )
 def _(spark, sf_dir):
     """State of a stopped and restored stream against a pass over all records."""
-    first = _builtin(spark, "rocksdb", operators=(names.VALUE, names.LIST, names.MAP))
-    second = _builtin(spark, "hashmap", operators=(names.VALUE, names.LIST, names.MAP))
+    first = _job(BuiltinJob, spark, sf_dir, "rocksdb", operators=(names.VALUE, names.LIST, names.MAP))
+    second = _job(BuiltinJob, spark, sf_dir, "hashmap", operators=(names.VALUE, names.LIST, names.MAP))
     job, stream, land_rest = _stopped(spark, sf_dir, first)
     saved = job.savepoint(fresh_dir(spark, "savepoint"))
     land_rest()
