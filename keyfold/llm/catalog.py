@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import decontamination, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op10_decontamination": decontamination.op10_decontamination,
     "op8_packing": packing.op8_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_decontamination": decontamination.OP10_SQL,
+}

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from keyfold.workdir import fresh_dir, materialize  # noqa: F401
@@ -62,3 +64,50 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, most:
 
 def unsigned_crc32(text: Column) -> Column:
     return F.crc32(text.cast("binary"))
+
+
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in a row, nulls being empty, and each text's bounds."""
+    texts = pa.compute.fill_null(texts.cast(pa.string()), "")
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if data is None or bounds[0] == bounds[-1]:
+        return np.empty(0, np.uint8), bounds - bounds[0]
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def flat_words(data: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """All words in a row with A-Z lowered, and the bounds of each text among them.
+
+    ``between`` tells of each byte value whether it stands between words.
+    """
+    if not len(data):
+        return pa.array([], pa.binary()), np.zeros(len(bounds), np.int64)
+    inside = ~between[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = bounds[:-1][bounds[:-1] < len(data)]
+    first[edges] |= inside[edges]
+    at = np.flatnonzero(first)
+    kept = _LOWER[data[inside]]
+    begins = (np.cumsum(inside) - inside)[at]
+    offsets = np.append(begins, len(kept)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    return words, np.searchsorted(at, bounds)
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
+    """For :func:`flat_words`: the byte values in the given ranges, ends included."""
+    chosen = np.zeros(256, bool)
+    for low, high in ranges:
+        chosen[low : high + 1] = True
+    return chosen
+
+
+#: What parts words in texts cut at white space, and in texts cut at any sign.
+SPACES = byte_set((0x20, 0x20), (0x09, 0x0D))
+SIGNS = byte_set((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
