@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing
+from . import decontamination, packing, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op10_decontamination": decontamination.op10_decontamination,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_packing": packing.op8_packing,
 }
 SQL: dict[str, str] = {
     "op10_decontamination": decontamination.OP10_SQL,
+    "op6_quality_rules": quality_rules.OP6_SQL,
 }
