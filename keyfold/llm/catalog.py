@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality_rules
+from . import decontamination, packing, quality_rules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op10_decontamination": decontamination.op10_decontamination,
+    "op3_sharding": sharding.op3_sharding,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_packing": packing.op8_packing,
 }
 SQL: dict[str, str] = {
     "op10_decontamination": decontamination.OP10_SQL,
+    "op3_sharding": sharding.op3_sharding,
     "op6_quality_rules": quality_rules.OP6_SQL,
 }
