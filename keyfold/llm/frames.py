@@ -89,15 +89,15 @@ def flat_words(data: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> tup
     edges = bounds[:-1][bounds[:-1] < len(data)]
     first[edges] |= inside[edges]
     at = np.flatnonzero(first)
-    kept = _LOWER[data[inside]]
+    kept = LOWER[data[inside]]
     begins = (np.cumsum(inside) - inside)[at]
     offsets = np.append(begins, len(kept)).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
     return words, np.searchsorted(at, bounds)
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:

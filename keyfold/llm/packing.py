@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .frames import materialize, ranked, slices, table
+from .frames import LOWER, byte_set, flat_bytes, materialize, ranked, slices, table
 
 CAPACITY = 2048
 UNIT = 64
@@ -34,45 +35,109 @@ _CACHED = 400_000  # words a worker remembers before it starts afresh
 _LONG_WORD = 64  # bytes; longer ones are not remembered
 
 
+_PARTS = byte_set((0x20, 0x20), (0x0A, 0x0A))
+_PUNCTUATION = byte_set((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+_ALNUM = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
+_LATIN = byte_set((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))  # after 0xC3: letters
+_LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+")
+
+
+def word_bounds(data: np.ndarray, bounds: np.ndarray, apart: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of every word: a run without space or newline, of which a last run
+    of punctuation after a letter or digit is a word of its own if ``apart``."""
+    gap = np.ones(len(data) + 1, bool)
+    gap[:-1] = _PARTS[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    inside = ~gap[:-1]
+    first = inside.copy()
+    first[1:] &= gap[:-2] | edge[1:-1]
+    mark = _PUNCTUATION[data]
+    begins = mark.copy()
+    begins[1:] &= ~mark[:-1] | edge[1:-1]
+    ends = mark & (~np.append(mark[1:], False) | edge[1:])
+    runs, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    ok = (gap[last] | edge[last]) & (runs > 0) & ~edge[runs]
+    runs = runs[ok]
+    latin = (data[np.maximum(runs - 2, 0)] == 0xC3) & _LATIN[data[runs - 1]]
+    runs = runs[_ALNUM[data[runs - 1]] | latin]
+    first[runs] |= apart
+    starts = np.flatnonzero(first)
+    # A word ends where a gap, a text or another word begins.
+    stops = np.flatnonzero((gap | edge | np.append(first, True))[1:] & inside) + 1
+    return starts, stops
+
+
 class WordTokenizer:
     """Ids of whole texts, found word by word.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those
-    of its words one after another, and a word met before need not be encoded again.
+    The tokenizer drops white space and never joins across it, nor letters or digits with
+    punctuation that ends a run, so a text's ids are those of its words one after another,
+    and a word met before need not be encoded again. It also lowers all letters, so A-Z may
+    be lowered first. Texts that may hold the string of a special token are only cut at
+    spaces and newlines.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode_batch
-        self._known: dict[str, tuple[int, ...]] = {}
-
-    def _ids(self, words: list[str]) -> list[tuple[int, ...]]:
+        coder = Tokenizer.from_file(path)
+        self._encode = coder.encode_batch_fast
+        self._known: dict[bytes, bytes] = {}
+        self._ends = np.zeros(coder.get_vocab_size() + 1, bool)
+        self._ends[[i for t, i in coder.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words. Words of letters only end with the first token that ends a word,
+        so many can be encoded at a time."""
+        plain, other = [], []
+        for w in words:
+            text = w.decode()
+            (plain if _LETTERS.fullmatch(text) else other).append((w, text))
+        found = {}
+        if plain:
+            ids = np.array(self._encode([" ".join(t for _, t in plain)], add_special_tokens=False)[0].ids, "<u4")
+            at = [0, *(np.flatnonzero(self._ends[ids]) + 1).tolist()]
+            if len(at) - 1 == len(plain):
+                raw = ids.tobytes()
+                found = {w: raw[4 * a : 4 * b] for (w, _), a, b in zip(plain, at, at[1:])}
+            else:
+                other += plain
+        codes = self._encode([t for _, t in other], add_special_tokens=False)
+        return found | {w: np.array(e.ids, "<u4").tobytes() for (w, _), e in zip(other, codes)}
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
         known = self._known
         if len(known) > _CACHED:
             known.clear()
         new = [w for w in words if w not in known]
-        fresh = {}
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self._encode(some, add_special_tokens=False)):
-                (known if len(w) <= _LONG_WORD else fresh)[w] = tuple(e.ids)
-        return [known[w] if w in known else fresh[w] for w in words]
+        for at in range(0, len(new), 20_000):
+            known |= self._fresh([w for w in new[at : at + 20_000] if len(w) <= _LONG_WORD])
+        long = self._fresh([w for w in new if len(w) > _LONG_WORD])
+        return [known[w] if len(w) <= _LONG_WORD else long[w] for w in words]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the bounds of each text among them."""
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        coded = lists.flatten().dictionary_encode()
+        data, bounds = flat_bytes(texts)
+        if not len(data):
+            return np.empty(0, np.uint32), bounds
+        special = b"<|" in data.tobytes()
+        data = data if special else LOWER[data]
+        starts, stops = word_bounds(data, bounds, not special)
+        inside = ~_PARTS[data]
+        kept = data[inside]
+        offsets = np.append(0, np.cumsum(stops - starts)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+        coded = words.dictionary_encode()
         ids = self._ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
         begins = np.cumsum(sizes) - sizes
         words = coded.indices.to_numpy()
         n = sizes[words]
         ends = np.cumsum(n)
         at = np.repeat(begins[words] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        bounds = np.concatenate(([0], ends))[lists.offsets.to_numpy()]
-        return flat[at], bounds
+        return flat[at], np.concatenate(([0], ends))[np.searchsorted(starts, bounds)]
 
 
 @functools.lru_cache(maxsize=2)

@@ -1,26 +1,39 @@
 """Packing: ids, cuts, places and little padding."""
 
+import functools
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from keyfold.llm import packing
 
 
-def plain_ids(text):
+def test_ids_of_real_texts(sf_dir):
+    texts = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].combine_chunks()
+    assert [x.tolist() for x in packing.encode(texts)] == [plain_ids(t) for t in texts.to_pylist()]
+
+
+@functools.cache
+def coder():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    coder = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    return coder.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
+    return Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+
+
+def plain_ids(text):
+    return coder().encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
 
 
 TEXTS = [
     "", None, " ", "a", "It's  a\tb\n\nc don't WE'LL", "　x y\u0085z", "Ångström é ́x", "<|endoftext|> a<|startoftext|>b",
     "ΟΔΥΣΣΕΥΣ Σ ς", "日本語 テキスト", "word " * 5000, "x" * 3000, "0123 45.6!?", "İstanbul ﬁ ퟿", "a\rb\x0bc\x0cd",
+    "end. end, (end) end!!! élan. naïve? 3× 2÷, x×. ñ| a|b| don't. it's, o'clock' 'tis rock'n'roll. ,", "İ. A̐! Å, e\u0301. x\u0301, >\u0338 a>\u0338",
+    "<|ENDOFTEXT|> A.", "Word. word, WORD: wOrd; É. È, ß. ø! þ÷.", "a.", ".", "..", ". .", "¿qué? «sí». \x00. \x7f.",
 ]
 
 
