@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality_rules, sharding
+from . import decontamination, packing, quality_rules, sharding, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op10_decontamination": decontamination.op10_decontamination,
     "op3_sharding": sharding.op3_sharding,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_packing": packing.op8_packing,
 }
