@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality_rules, sharding, suffix_dedup
+from . import decontamination, near_duplicates, packing, quality_rules, sharding, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op3_sharding": sharding.op3_sharding,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_near_duplicates": near_duplicates.op7_near_duplicates,
     "op8_packing": packing.op8_packing,
 }
 SQL: dict[str, str] = {

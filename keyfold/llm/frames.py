@@ -111,3 +111,34 @@ def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
 #: What parts words in texts cut at white space, and in texts cut at any sign.
 SPACES = byte_set((0x20, 0x20), (0x09, 0x0D))
 SIGNS = byte_set((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
+
+
+def numbered(documents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) with ids that are unique, and the way back (id, doc_id, hash), if the
+    documents' own ids are not."""
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    odd = own.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if not odd.take(1):
+        return own.withColumnRenamed("doc_id", "id"), None
+    hashed = own.withColumn("hash", F.xxhash64("text", F.length("text")))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("hash").asc()]
+    parts = materialize(
+        hashed.select("doc_id", "hash").distinct().repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ids"
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    inside = Window.partitionBy("part").orderBy(*order)
+    ids = parts.join(sizes, "part").select("doc_id", "hash", (F.col("before") + F.row_number().over(inside)).alias("id"))
+    ids = materialize(ids, "numbers")
+    same = hashed["doc_id"].eqNullSafe(ids["doc_id"]) & (hashed["hash"] == ids["hash"])
+    return hashed.join(ids, same).select("id", "text").dropDuplicates(["id"]), ids
+
+
+def renamed(documents: DataFrame, result: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """A result by the ids of :func:`numbered`, given to every row under its own id."""
+    if numbers is None:
+        return result.withColumnRenamed("id", "doc_id")
+    text = F.col("text").cast("string")
+    own = documents.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64(text, F.length(text)).alias("__hash"))
+    same = F.col("__doc").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("hash"))
+    return own.join(numbers, same).select("id", "doc_id").join(result, "id").drop("id")

@@ -34,10 +34,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .difference_cover import equal_neighbours, sort_suffixes
-from .frames import flat_bytes, materialize, slices, table
+from .frames import flat_bytes, materialize, numbered, renamed, slices, table
 
 LENGTH = 100
 GRAM = 24
@@ -301,27 +301,6 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     )
 
 
-def numbered(documents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(id, text) with ids that are unique, and the way back (id, doc_id, hash), if the
-    documents' own ids are not."""
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    odd = own.groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    if not odd.take(1):
-        return own.withColumnRenamed("doc_id", "id"), None
-    hashed = own.withColumn("hash", F.xxhash64("text", F.length("text")))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("hash").asc()]
-    parts = materialize(
-        hashed.select("doc_id", "hash").distinct().repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ids"
-    )
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parts.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy("part").orderBy(*order)
-    ids = parts.join(sizes, "part").select("doc_id", "hash", (F.col("before") + F.row_number().over(inside)).alias("id"))
-    ids = materialize(ids, "numbers")
-    same = hashed["doc_id"].eqNullSafe(ids["doc_id"]) & (hashed["hash"] == ids["hash"])
-    return hashed.join(ids, same).select("id", "text").dropDuplicates(["id"]), ids
-
-
 _KEPT = pa.schema([
     ("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
     ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string()), ("kept", pa.binary()),
@@ -365,11 +344,7 @@ def deduplicated(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, w
 
     schema = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
     result = packed(texts).join(marks, "id", "left").select("id", "z", "marks").mapInArrow(keep, schema)
-    if numbers is None:
-        return result.withColumnRenamed("id", "doc_id")
-    own = documents.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64(F.col("text").cast("string"), F.length(F.col("text").cast("string"))).alias("__hash"))
-    back = own.join(numbers, F.col("__doc").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("hash"))).select("id", "doc_id")
-    return back.join(result, "id").drop("id")
+    return renamed(documents, result, numbers)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
