@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_duplicates, packing, quality_rules, sharding, suffix_dedup
+from . import decontamination, near_duplicates, packing, quality, quality_rules, sharding, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op10_decontamination": decontamination.op10_decontamination,
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_quality": quality.op2_quality,
     "op3_sharding": sharding.op3_sharding,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
@@ -20,6 +22,8 @@ QUERIES: dict[str, Query] = {
 }
 SQL: dict[str, str] = {
     "op10_decontamination": decontamination.OP10_SQL,
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_quality": quality.op2_quality,
     "op3_sharding": sharding.op3_sharding,
     "op6_quality_rules": quality_rules.OP6_SQL,
 }
