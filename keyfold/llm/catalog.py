@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_duplicates, packing, quality, quality_rules, sharding, suffix_dedup, toxicity
+from . import decontamination, near_duplicates, packing, quality, quality_rules, sharding, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality": quality.op2_quality,
     "op3_sharding": sharding.op3_sharding,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_near_duplicates": near_duplicates.op7_near_duplicates,
