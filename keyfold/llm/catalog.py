@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_duplicates, packing, quality, quality_rules, sharding, suffix_dedup, token_counts, toxicity
+from . import decontamination, licenses, near_duplicates, packing, quality, quality_rules, sharding, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_near_duplicates": near_duplicates.op7_near_duplicates,
     "op8_packing": packing.op8_packing,
+    "op9_licenses": licenses.op9_licenses,
 }
 SQL: dict[str, str] = {
     "op10_decontamination": decontamination.OP10_SQL,
