@@ -204,7 +204,7 @@ def _(spark, sf_dir):
 
 @register("reducing_state_function", _TOTAL.format("reduced"))
 def _(spark, sf_dir):
-    return reducing_state_ordered(events_keyed(spark, sf_dir), lambda a, b: a + b)
+    return reducing_state_ordered(events_keyed(spark, sf_dir), lambda a, b: a + b, associative=True)
 
 
 @register(
@@ -213,7 +213,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Associative, not commutative: the right operand wins. Hot keys split."""
-    return reducing_state_ordered(events_keyed(spark, sf_dir), lambda a, b: b, SPLIT_ROWS)
+    return reducing_state_ordered(events_keyed(spark, sf_dir), lambda a, b: b, SPLIT_ROWS, associative=True)
 
 
 @register("aggregating_state", _TOTAL.format("aggregated"))
@@ -235,6 +235,7 @@ def integer_mean() -> ColumnAggregate:
         add=lambda a, v: acc(a["total"] + v, a["n"] + big(1)),
         merge=lambda a, b: acc(a["total"] + b["total"], a["n"] + b["n"]),
         finish=lambda a: int_div(a["total"], a["n"]),
+        associative=True,
     )
 
 

@@ -9,17 +9,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import int_div
 from ..plans.hot import HOT_ROWS, HotKeys, find_hot, positions, split
-from .reducing import merge_levels, ordered
+from .reducing import merge_levels, ordered, require_associative
 
 
 @dataclass(frozen=True)
 class ColumnAggregate:
-    """A user aggregate as column functions; ``merge`` must be associative."""
+    """A user aggregate as column functions.
+
+    A hot key has an accumulator for each run of its values, all begun with ``zero`` and then
+    merged. ``associative`` states that this makes no difference: that ``merge`` is
+    associative, that adding values and merging agree, and that ``zero`` is neutral for ``merge``.
+    """
 
     zero: Callable[[], Column]
     add: Callable[[Column, Column], Column]
     merge: Callable[[Column, Column], Column]
     finish: Callable[[Column], Column] = lambda acc: acc
+    associative: bool = False
 
     def accumulate(self, items: Column) -> Column:
         return F.aggregate(items, self.zero(), self.add)
@@ -30,6 +36,7 @@ def sum_aggregate() -> ColumnAggregate:
         zero=lambda: F.lit(0).cast("bigint"),
         add=lambda acc, value: acc + value,
         merge=lambda a, b: a + b,
+        associative=True,
     )
 
 
@@ -39,9 +46,11 @@ def aggregating_state(
     """(key, aggregated). Values are added in ``seq`` order.
 
     A hot key is accumulated in runs of ``hot_rows`` neighbours, each in its own
-    group, and the accumulators are merged.
+    group, and the accumulators are merged. Raises unless ``how`` states that it is
+    associative.
     """
     how = how or sum_aggregate()
+    require_associative(how.associative)
     records = records.select("seq", "key", "value")
     hot = find_hot(records, hot_rows)
     ordinary, heavy = split(records, hot)

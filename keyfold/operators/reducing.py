@@ -47,26 +47,37 @@ def ordered(order: str, item: str) -> Column:
 def merge_levels(chunks: DataFrame, item: str, merge: Merge, size: int, limit: int) -> DataFrame:
     """(key, pos, item) down to one item per key, ``limit`` neighbours at a time.
 
-    ``size`` is the most items any key has. No group ever holds more than ``limit``.
+    ``size`` is the most items any key is known to have. No group holds more than
+    ``limit``, unless a key has got more since; the last level takes all that is left.
     """
-    while size > 1:
+    while size > limit:
         chunks = (
             chunks.groupBy("key", int_div(F.col("pos"), limit).alias("chunk"))
             .agg(ordered("pos", item).alias("items"))
             .select("key", F.col("chunk").alias("pos"), fold(F.col("items"), merge).alias(item))
         )
         size = -(-size // limit)
-    return chunks.drop("pos")
+    whole = chunks.groupBy("key").agg(ordered("pos", item).alias("items"))
+    return whole.select("key", fold(F.col("items"), merge).alias(item))
+
+
+def require_associative(stated: bool) -> None:
+    """A hot key is folded in runs, so grouping must not matter; the caller has to say so,
+    whatever the size of the keys today."""
+    if not stated:
+        raise ValueError("state associative=True: long keys are folded in runs, then the runs")
 
 
 def reducing_state_ordered(
-    records: DataFrame, merge: Merge, hot_rows: int = HOT_ROWS
+    records: DataFrame, merge: Merge, hot_rows: int = HOT_ROWS, *, associative: bool = False
 ) -> DataFrame:
     """(key, reduced) with any associative column function, applied in ``seq`` order.
 
     ``merge`` need not be commutative. Neighbouring runs of a hot key are folded
-    first, then the results of neighbouring runs.
+    first, then the results of neighbouring runs. Raises unless the caller states that
+    ``merge`` is associative.
     """
+    require_associative(associative)
     records = records.select("seq", "key", "value")
     hot = find_hot(records, hot_rows)
     ordinary, heavy = split(records, hot)

@@ -8,7 +8,7 @@ from .. import names
 from ..functions.numbers import int_div
 from ..operators.aggregating import ColumnAggregate, sum_aggregate
 from ..operators.histogram import count_values, entry_parts, histogram_rows
-from ..operators.reducing import Merge, fold, merge_levels, ordered
+from ..operators.reducing import Merge, fold, merge_levels, ordered, require_associative
 from ..workdir import materialize
 from .hot import HOT_ROWS, HotKeys, find_hot, positions, split
 
@@ -19,9 +19,11 @@ def _add(a, b):
 
 def keyed_state(
     records: DataFrame,
-    reduce: Merge = _add,
+    reduce: Merge | None = None,
     aggregate: ColumnAggregate | None = None,
     hot_rows: int = HOT_ROWS,
+    *,
+    associative: bool = False,
 ) -> DataFrame:
     """(key, part, value_state, reducing_state, aggregating_state, list_state, map_state).
 
@@ -29,9 +31,13 @@ def keyed_state(
     ``map_state`` an array of (value, n). A hot key has further rows, part 1, 2 …,
     which carry the rest of its list and map and null elsewhere.
 
-    Ordinary keys cost one exchange and one grouping.
+    Ordinary keys cost one exchange and one grouping. Raises unless the caller states that
+    a ``reduce`` of its own is associative.
     """
+    require_associative(associative or reduce is None)
+    reduce = reduce or _add
     aggregate = aggregate or sum_aggregate()
+    require_associative(aggregate.associative)
     records = records.select("seq", "key", "value")
     hot = find_hot(records, hot_rows)
     ordinary, heavy = split(records, hot)

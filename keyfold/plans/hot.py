@@ -40,21 +40,19 @@ class HotKeys:
 def find_hot(records: DataFrame, limit: int = HOT_ROWS) -> HotKeys | None:
     """Keys with more than ``limit`` rows, or None.
 
-    Runs one job when called: counts are combined before the shuffle, only the key
-    column is read, and one summary row returns. The hot keys themselves are kept
-    cached, few as they are; a lost copy is counted anew.
+    Runs one job when called: counts are combined before the shuffle, and only the key
+    column is read. The hot keys, few as they are, are written to the shared folder, so
+    that every later step sees the same ones, and a call on a table that has grown counts
+    anew.
     """
-    hot = (
-        records.groupBy(F.col("key").alias("hot_key"))
-        .agg(F.count(F.lit(1)).alias("hot_rows"))
-        .filter(F.col("hot_rows") > limit)
-        .persist()
+    counts = records.groupBy(F.col("key").alias("hot_key")).agg(
+        F.count(F.lit(1)).alias("hot_rows")
     )
+    hot = materialize(counts.filter(F.col("hot_rows") > limit), "hot-keys")
     keys, rows, largest = hot.agg(
         F.count(F.lit(1)), F.sum("hot_rows"), F.max("hot_rows")
     ).first()
     if not keys:
-        hot.unpersist()
         return None
     return HotKeys(hot, keys, rows, largest, limit)
 

@@ -12,6 +12,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 from pyspark.sql.utils import AnalysisException
 
 from .. import names
@@ -19,10 +20,10 @@ from ..operators.reducing import COMBINERS, combiner
 from ..plans.payloads import Outputs, result_lines, table_payloads
 from ..workdir import materialize
 from .backends import backend_settings, state_settings
-from .savepoint import Consumed, Savepoint, SavepointError, next_position
+from .savepoint import Consumed, Savepoint, SavepointError, check_late, next_position
 from .state import committed_batch, state_rows
 
-# grouping_id() of the three grouping sets over (key, value).
+# grouping_id() of the three grouping sets over (late, key, value); late is in all of them.
 _PER_VALUE, _PER_KEY, _OVERALL = 0, 1, 3
 
 # The position is kept with the state: how many records, and their seq range.
@@ -59,6 +60,7 @@ class BuiltinJob:
         aggregate: str = "sum",
         finish=lambda acc: acc,
         drop_others: bool = False,
+        first: int = 0,
     ):
         backend_settings(backend)
         self.spark, self.home = spark, home.rstrip("/")
@@ -72,9 +74,14 @@ class BuiltinJob:
         self.before = (
             savepoint.select(operators, stream.schema, drop_others) if savepoint else None
         )
-        if savepoint:
-            stream = stream.filter(F.col("seq") >= savepoint.position.next_index)
-        self.stream = stream
+        self.first = first
+        kind = stream.schema["value"].dataType
+        if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+            raise ValueError(f"value must be an integer, not {kind.simpleString()}")
+        # Records that the savepoint holds already, or that come too late for it.
+        late = F.lit(False) if savepoint is None else F.col("seq") < savepoint.position.next_index
+        self.all = stream.withColumn("late", late)
+        self.stream = self.all.filter(~F.col("late")).drop("late")
 
     @property
     def checkpoint(self) -> str:
@@ -83,9 +90,11 @@ class BuiltinJob:
     def start(self, **trigger) -> list[StreamingQuery]:
         """Start, or start again on the same checkpoints. Default trigger: all available."""
         trigger = trigger or {"availableNow": True}
-        key, value = F.col("key"), F.col("value")
-        sets = [[key], []] + ([[key, value]] if names.MAP in self.operators else [])
-        totals = self.stream.groupingSets(sets, key, value).agg(*(_MEASURES[how](column).alias(f"{how}_{column}") for how, column in self._wanted()))
+        key, value, late = F.col("key"), F.col("value"), F.col("late")
+        sets = [[late, key], [late]] + ([[late, key, value]] if names.MAP in self.operators else [])
+        # Late records are only counted: all of them in one group without key and value.
+        counted = self.all.withColumns({c: F.when(~late, F.col(c)) for c in ("key", "value")})
+        totals = counted.groupingSets(sets, late, key, value).agg(*(_MEASURES[how](column).alias(f"{how}_{column}") for how, column in self._wanted()))
         with state_settings(self.spark, self.backend, self.partitions):
             queries = [
                 totals.writeStream.format("noop")
@@ -120,7 +129,7 @@ class BuiltinJob:
         _halt(totals)
         consumed = self.consumed()
         for query in lists:
-            while consumed and query.isActive and self._held(consumed) < consumed.records:
+            while consumed and consumed.records and query.isActive and self._held(consumed) < consumed.records:
                 time.sleep(poll_seconds)
             _halt(query)
         return self
@@ -131,13 +140,20 @@ class BuiltinJob:
         return None if batch is None else self._consumed(batch)
 
     def _consumed(self, batch: int) -> Consumed | None:
-        row = self._level(batch, _OVERALL).select(
-            *(self._measure(m).alias(m[0]) for m in (_RECORDS, _FIRST, _LAST))
-        ).first()
-        return Consumed(row["count"], row["min"], row["max"], batch) if row else None
+        rows = self._level(batch, _OVERALL, None).select(
+            "late", *(self._measure(m).alias(m[0]) for m in (_RECORDS, _FIRST, _LAST))
+        ).collect()  # at most two
+        late = sum(r["count"] for r in rows if r["late"])
+        for row in rows:
+            if not row["late"]:
+                return Consumed(row["count"], row["min"], row["max"], batch, late)
+        return Consumed(0, 0, -1, batch, late) if late else None
 
     def flush(self) -> dict[str, DataFrame]:
-        """State of every key, by operator: scalars, and long forms of list and map."""
+        """State of every key, by operator: scalars, and long forms of list and map.
+
+        Raises if records were left out that came too late for the savepoint.
+        """
         return self._state(self._scan())
 
     def results(self) -> dict[str, DataFrame]:
@@ -162,7 +178,7 @@ class BuiltinJob:
         ``source`` is the input as a static table, for inputs whose ``seq`` has gaps.
         """
         consumed = self._scan()
-        position = next_position(self.base, consumed, source)
+        position = next_position(self.base, self._own(consumed), source, self.first)
         return Savepoint.write(self.spark, path, self._state(consumed), position)
 
     # What the state of a (key) or (key, value) group holds, each measure once.
@@ -179,17 +195,19 @@ class BuiltinJob:
     def _measure(self, measure: tuple[str, str]) -> Column:
         return F.col(f"held.m{self._wanted().index(measure)}")
 
-    def _level(self, batch_id: int, level: int) -> DataFrame:
+    def _level(self, batch_id: int, level: int, late: bool | None = False) -> DataFrame:
         """State rows of one grouping set: key, value, held."""
         rows = self._scanned.get(batch_id)
         if rows is None:
             rows = self._read(batch_id)
-        return rows.filter(F.col("level") == level).drop("level")
+        rows = rows.filter(F.col("level") == level).drop("level")
+        return rows if late is None else rows.filter(F.col("late") == late).drop("late")
 
     def _read(self, batch_id: int) -> DataFrame:
         # Buffers are renamed by place: their own names may repeat.
         held = ", ".join(f"m{i}: bigint" for i in range(len(self._wanted())))
         return state_rows(self.spark, self.checkpoint, batch_id).select(
+            "key.late",
             "key.key",
             "key.value",
             F.col("key.spark_grouping_id").alias("level"),
@@ -205,7 +223,13 @@ class BuiltinJob:
             self._scanned = {batch: materialize(self._read(batch), "state", ("level",))}
         return self._consumed(batch)
 
+    def _own(self, consumed: Consumed | None) -> Consumed | None:
+        """None if all that came was left out, for which the savepoint must answer."""
+        check_late(self.base, consumed)
+        return consumed if consumed is not None and consumed.records else None
+
     def _state(self, consumed: Consumed | None) -> dict[str, DataFrame]:
+        consumed = self._own(consumed)
         if consumed is None:
             if self.before is None:
                 raise SavepointError("nothing is committed yet")

@@ -25,12 +25,12 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StructType
 
 from .. import names
 from ..workdir import materialize
 from .backends import state_settings
-from .savepoint import Consumed, Savepoint, SavepointError, next_position
+from .savepoint import Consumed, Savepoint, SavepointError, check_late, next_position
 from .state import committed_batch, state_rows
 
 _POSITION = "position"
@@ -45,13 +45,18 @@ def _sum(a, b):
     return a + b
 
 
+def _exact_sum(values: pd.Series) -> int:
+    """The sum in Python's integers; past 64 bits the state refuses it, where pandas wraps."""
+    return sum(values.tolist())
+
+
 @dataclass(frozen=True)
 class PythonAggregate:
     """A user aggregate. An accumulator is a tuple with the fields of ``schema``."""
 
     schema: str = "acc bigint"
     create: Callable[[], tuple] = lambda: (0,)
-    add: Callable[[tuple, pd.Series], tuple] = lambda acc, values: (acc[0] + int(values.sum()),)
+    add: Callable[[tuple, pd.Series], tuple] = lambda acc, values: (acc[0] + _exact_sum(values),)
     merge: Callable[[tuple, tuple], tuple] = lambda a, b: (a[0] + b[0],)
     finish: Callable[[Column], Column] = lambda acc: acc["acc"]
 
@@ -59,8 +64,11 @@ class PythonAggregate:
 class KeyedStates(StatefulProcessor):
     """State variables of the chosen operators, for one (key, shard) at a time."""
 
-    def __init__(self, operators: tuple[str, ...], reduce: Callable, aggregate: PythonAggregate):
+    def __init__(
+        self, operators: tuple[str, ...], reduce: Callable, aggregate: PythonAggregate, next_index: int | None = None
+    ):
         self.operators, self.reduce, self.aggregate = operators, reduce, aggregate
+        self.next_index = next_index
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         make = {
@@ -71,13 +79,20 @@ class KeyedStates(StatefulProcessor):
             names.MAP: lambda n: handle.getMapState(n, "value bigint", "n bigint"),
         }
         self.states = {n: make[n](n) for n in self.operators}
-        self.position = handle.getValueState(_POSITION, "records bigint, first bigint, last bigint")
+        self.position = handle.getValueState(_POSITION, "records bigint, first bigint, last bigint, late bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         for frame in rows:
+            if self.next_index is not None:
+                late = frame["seq"] < self.next_index
+                if late.any():
+                    self._count_late(int(late.sum()))
+                    frame = frame[~late]
+                    if frame.empty:
+                        continue
             values = frame["value"]
             if names.VALUE in self.states:
-                self._add_total(int(values.sum()))
+                self._add_total(_exact_sum(values))
             if names.REDUCING in self.states:
                 self._reduce_with(functools.reduce(self.reduce, values.tolist()))
             if names.AGGREGATING in self.states:
@@ -101,13 +116,14 @@ class KeyedStates(StatefulProcessor):
         """
         for operator, rows in initialState.groupby("operator"):
             if operator == names.VALUE:
-                self._add_total(int(rows["value"].sum()))
+                self._add_total(_exact_sum(rows["value"]))
             elif operator == names.REDUCING:
                 self._reduce_with(functools.reduce(self.reduce, rows["value"].tolist()))
             elif operator == names.AGGREGATING:
                 state = self.states[names.AGGREGATING]
                 held = state.get()
-                accs = [tuple(json.loads(acc)) for acc in rows["acc"]]
+                # Fields are in the order of the schema.
+                accs = [tuple(json.loads(acc).values()) for acc in rows["acc"]]
                 accs += [tuple(held)] if held else []
                 state.update(functools.reduce(self.aggregate.merge, accs))
             elif operator == names.LIST:
@@ -138,11 +154,19 @@ class KeyedStates(StatefulProcessor):
         held = self.states[names.MAP].getValue((value,))
         self.states[names.MAP].updateValue((value,), (held[0] + n if held else n,))
 
-    def _advance(self, records: int, first: int, last: int) -> None:
+    def _count_late(self, late: int) -> None:
+        """Records left out, since they come below the position this job goes on from."""
         held = self.position.get()
+        records, first, last, before = held or (0, None, None, 0)
+        self.position.update((records, first, last, before + late))
+
+    def _advance(self, records: int, first: int, last: int) -> None:
+        held, late = self.position.get(), 0
         if held:
+            late = held[3]
+        if held and held[0]:
             records, first, last = held[0] + records, min(held[1], first), max(held[2], last)
-        self.position.update((records, first, last))
+        self.position.update((records, first, last, late))
 
 
 class ProcessorJob:
@@ -165,6 +189,7 @@ class ProcessorJob:
         aggregate: PythonAggregate = PythonAggregate(),
         shards: int = 1,
         drop_others: bool = False,
+        first: int = 0,
     ):
         if backend == "hashmap":
             raise ValueError("state variables need a rocksdb backend; use BuiltinJob on hashmap")
@@ -176,8 +201,12 @@ class ProcessorJob:
         self.before = (
             savepoint.select(operators, stream.schema, drop_others) if savepoint else None
         )
-        if savepoint:
-            stream = stream.filter(F.col("seq") >= savepoint.position.next_index)
+        self.first = first
+        kind = stream.schema["value"].dataType
+        if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+            raise ValueError(f"value must be an integer, not {kind.simpleString()}")
+        # None: nothing is late for a job that begins anew.
+        self.next_index = savepoint.position.next_index if savepoint else None
         self.stream = stream
 
     @property
@@ -189,7 +218,7 @@ class ProcessorJob:
         rows = self.stream.withColumn("shard", self._shard(F.col("seq")))
         initial = self._initial_rows()
         updates = rows.groupBy("key", "shard").transformWithStateInPandas(
-            KeyedStates(self.operators, self.reduce, self.aggregate),
+            KeyedStates(self.operators, self.reduce, self.aggregate, self.next_index),
             outputStructType="key string",
             outputMode="update",
             timeMode="none",
@@ -228,12 +257,13 @@ class ProcessorJob:
                 F.sum("value.records").alias("records"),
                 F.min("value.first").alias("first"),
                 F.max("value.last").alias("last"),
+                F.coalesce(F.sum("value.late"), F.lit(0)).alias("late"),
             )
             .first()
         )
-        if row["records"] is None:
-            return Consumed(0, 0, 0, batch)
-        return Consumed(row["records"], row["first"], row["last"], batch)
+        if not row["records"]:
+            return Consumed(0, 0, 0, batch, row["late"])
+        return Consumed(row["records"], row["first"], row["last"], batch, row["late"])
 
     def flush(self) -> dict[str, DataFrame]:
         """State of every key, by operator: scalars, and long forms of list and map."""
@@ -242,6 +272,7 @@ class ProcessorJob:
             if self.before is None:
                 raise SavepointError("nothing is committed yet")
             return dict(self.before)
+        check_late(self.base, self.consumed())
         if batch not in self._scanned:
             # Written once: a later read does not load the state again.
             tables = {o: materialize(self._table(o, batch), o) for o in self.operators}
@@ -258,9 +289,10 @@ class ProcessorJob:
     def savepoint(self, path: str, source: DataFrame | None = None) -> Savepoint:
         """Write the state as of the last committed batch. Stop the query first."""
         consumed = self.consumed()
+        check_late(self.base, consumed)
         if consumed is not None and not consumed.records:
             consumed = None
-        position = next_position(self.base, consumed, source)
+        position = next_position(self.base, consumed, source, self.first)
         return Savepoint.write(self.spark, path, self.flush(), position)
 
     def _shard(self, of: Column) -> Column:
@@ -336,7 +368,7 @@ class ProcessorJob:
                 fill["value"] = F.col("reduced")
             elif operator == names.AGGREGATING:
                 fields = StructType.fromDDL(self.aggregate.schema).names
-                fill["acc"] = F.to_json(F.array(*(F.col(f"acc.{f}") for f in fields)))
+                fill["acc"] = F.to_json(F.struct(*(F.col(f"acc.{f}") for f in fields)), {"ignoreNullFields": "false"})
             elif operator == names.LIST:
                 fill["seq"], fill["value"], spread = F.col("seq"), F.col("value"), F.col("seq")
             else:

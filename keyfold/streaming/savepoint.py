@@ -99,24 +99,44 @@ def key_type_of(schema: StructType) -> str:
 
 @dataclass(frozen=True)
 class Consumed:
-    """What a job has taken in since it started, as committed with ``batch_id``."""
+    """What a job has taken in since it started, as committed with ``batch_id``.
+
+    ``late`` records came below the position the job goes on from, and were left out.
+    """
 
     records: int
     first: int
     last: int
     batch_id: int
+    late: int = 0
+
+
+def check_late(base: Savepoint | None, consumed: Consumed | None) -> None:
+    """Raises if records were left out that the savepoint does not hold.
+
+    A restored job may read its source from the start, and then leaves out just what the
+    savepoint holds, or from the position on, and then leaves out nothing.
+    """
+    if base is None or consumed is None:
+        return
+    if consumed.late not in (0, base.position.records):
+        raise SavepointError(
+            f"{consumed.late} records came below seq {base.position.next_index}, where this job "
+            f"goes on; its savepoint holds {base.position.records}: some are late, and in no state"
+        )
 
 
 def next_position(
-    base: Savepoint | None, consumed: Consumed | None, source: DataFrame | None
+    base: Savepoint | None, consumed: Consumed | None, source: DataFrame | None, first: int = 0
 ) -> Position:
     """Where a job restored from the new savepoint must go on.
 
     Raises unless the consumed records are exactly those from the start of the job
     to ``last``: a record that arrives late and below the position would be lost.
     With ``source``, the input as a static table, they are counted. Without, ``seq``
-    must have no gaps.
+    must have no gaps, and begins with ``first``.
     """
+    check_late(base, consumed)
     if consumed is None:
         if base is None:
             raise SavepointError("nothing is committed yet")
@@ -127,7 +147,7 @@ def next_position(
             below = below.filter(F.col("seq") >= base.position.next_index)
         expected = below.count()
     else:
-        start = consumed.first if base is None else base.position.next_index
+        start = first if base is None else base.position.next_index
         expected = consumed.last - start + 1
     if consumed.records != expected:
         raise SavepointError(

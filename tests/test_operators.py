@@ -12,6 +12,7 @@ from keyfold import names
 from keyfold.catalog import integer_mean
 from keyfold.functions import unwrap, wrap
 from keyfold.operators import (
+    ColumnAggregate,
     aggregating_state,
     histogram_parts,
     histogram_rows,
@@ -70,7 +71,7 @@ def test_operators_equal_python(spark, data, limit):
         expected += zip([key] * len(seqs), seqs, accumulate(lists[key]))
     assert running == sorted(expected, key=repr)
 
-    last = reducing_state_ordered(df, lambda a, b: b, limit)
+    last = reducing_state_ordered(df, lambda a, b: b, limit, associative=True)
     assert rows(last) == sorted((k, v[-1]) for k, v in lists.items())
     mean = aggregating_state(df, integer_mean(), limit)
     assert rows(mean) == sorted((k, int(sum(v) / len(v))) for k, v in lists.items())
@@ -116,11 +117,11 @@ def test_order_sensitive_merge_keeps_order_over_splits(spark):
         ay, by = F.floor(y / 1000), y % 1000
         return ((ax * ay) % 97) * 1000 + (ay * bx + by) % 97
 
-    whole = reducing_state_ordered(df, compose)
-    split = reducing_state_ordered(df, compose, hot_rows=4)
+    whole = reducing_state_ordered(df, compose, associative=True)
+    split = reducing_state_ordered(df, compose, hot_rows=4, associative=True)
     assert rows(whole) == rows(split)
     turned = df.withColumn("seq", -F.col("seq"))
-    assert rows(whole) != rows(reducing_state_ordered(turned, compose))
+    assert rows(whole) != rows(reducing_state_ordered(turned, compose, associative=True))
 
 
 def test_string_struct_and_null_keys(spark):
@@ -197,3 +198,24 @@ def test_operator_names_are_fixed():
         "list_state",
         "map_state",
     )
+
+
+def test_hot_keys_of_a_table_that_grows(spark, tmp_path):
+    path = str(tmp_path / "grows")
+    make = lambda frm, to: spark.range(frm, to).selectExpr("id as seq", "0L as key", "1L as value")
+    make(0, 150).write.parquet(path)
+    fold = lambda: reducing_state_ordered(spark.read.parquet(path), lambda a, b: a + b, 10, associative=True)
+    assert rows(fold()) == [(0, 150)]
+    make(150, 9150).write.mode("append").parquet(path)
+    assert rows(fold()) == [(0, 9150)]
+    assert [r.n for r in list_parts(spark.read.parquet(path), 5000).selectExpr("size(items) as n").orderBy("part").collect()] == [5000, 4150]
+
+
+def test_folds_must_be_said_to_be_associative(spark):
+    df = spark.createDataFrame([(0, 0, 5), (1, 0, 3)], "seq bigint, key bigint, value bigint")
+    with pytest.raises(ValueError):
+        reducing_state_ordered(df, lambda a, b: a - b)
+    with pytest.raises(ValueError):
+        aggregating_state(df, ColumnAggregate(zero=lambda: F.lit(1), add=lambda a, v: a * v, merge=lambda a, b: a * b))
+    with pytest.raises(ValueError):
+        keyed_state(df, lambda a, b: a - b)

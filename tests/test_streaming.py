@@ -5,6 +5,7 @@ import time
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from keyfold import names
 from keyfold.operators import histogram_rows, list_rows, reducing_state, value_state
@@ -305,3 +306,68 @@ def test_backends_by_name(spark):
 
 def test_the_shared_folder_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def _records(spark, frm, to, keys=2):
+    return sequence(spark, to, keys).filter(F.col("seq") >= frm)
+
+
+@pytest.mark.parametrize("job", [BuiltinJob, ProcessorJob])
+def test_late_records_are_refused(spark, tmp_path, job):
+    def stream():
+        schema = sequence(spark, 1, 1).schema
+        return spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+
+    add = lambda frm, to: _records(spark, frm, to).write.mode("append").parquet(str(tmp_path / "in"))
+    add(10, 20)
+    first = job(spark, stream(), str(tmp_path / "first")).run()
+    with pytest.raises(SavepointError):  # 0 to 9 have not come yet
+        first.savepoint(str(tmp_path / "too-early"))
+    add(0, 10)
+    saved = first.run().savepoint(str(tmp_path / "saved"))
+    assert (saved.position.records, saved.position.next_index) == (20, 20)
+    add(20, 30)
+    second = job(spark, stream(), str(tmp_path / "second"), savepoint=saved).run()
+    assert second.results()["list_state"].count() == 30  # from the start: 20 are left out
+    add(5, 6)
+    with pytest.raises(SavepointError):  # one more below the position
+        second.run().savepoint(str(tmp_path / "late"))
+    with pytest.raises(SavepointError):
+        second.flush()
+
+
+def test_declared_start(spark, tmp_path):
+    _records(spark, 7, 20).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(sequence(spark, 1, 1).schema).parquet(str(tmp_path / "in"))
+    with pytest.raises(SavepointError):
+        BuiltinJob(spark, stream, str(tmp_path / "a")).run().savepoint(str(tmp_path / "sa"))
+    saved = BuiltinJob(spark, stream, str(tmp_path / "b"), first=7).run().savepoint(str(tmp_path / "sb"))
+    assert saved.position.records == 13
+
+
+@pytest.mark.parametrize("job", [BuiltinJob, ProcessorJob])
+def test_only_integers_are_taken(spark, tmp_path, job):
+    stream = spark.readStream.schema("seq bigint, key bigint, value double").parquet(str(tmp_path))
+    with pytest.raises(ValueError):
+        job(spark, stream, str(tmp_path / "x"))
+
+
+def test_mixed_accumulator_over_a_restore(spark, tmp_path):
+    from keyfold.streaming import PythonAggregate
+
+    mixed = PythonAggregate(
+        schema="n bigint, mean double, label string",
+        create=lambda: (0, 0.0, ""),
+        add=lambda acc, v: (acc[0] + len(v), acc[1] + float(v.sum()) / 2, max(acc[2], f"v{int(v.max()):03d}")),
+        merge=lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2])),
+        finish=lambda acc: F.concat_ws(" ", acc["n"].cast("string"), acc["mean"].cast("string"), acc["label"]),
+    )
+    make = lambda home, saved=None: ProcessorJob(
+        spark, spark.readStream.schema(sequence(spark, 1, 1).schema).parquet(str(tmp_path / "in")), str(tmp_path / home),
+        savepoint=saved, operators=("aggregating_state",), aggregate=mixed,
+    )
+    _records(spark, 0, 10).write.parquet(str(tmp_path / "in"))
+    saved = make("one").run().savepoint(str(tmp_path / "saved"))
+    _records(spark, 10, 20).write.mode("append").parquet(str(tmp_path / "in"))
+    found = make("two", saved).run().results()["aggregating_state"].collect()
+    assert sorted(r.aggregated for r in found) == ["10 22.5 v009", "10 22.5 v009"]
