@@ -259,6 +259,14 @@ def judged(documents: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def clean_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows that are not contaminated, with all their columns."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    bad = judged(documents.select(key.alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("__bad"))
+    keyed = documents.withColumn("__key", key)
+    return keyed.join(bad, F.col("__key") == F.col("__bad"), "left_anti").drop("__key")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all of ``benchmark``."""
     found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

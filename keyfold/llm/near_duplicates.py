@@ -282,6 +282,20 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     return renamed(documents, found.select("id", "n_shingles", "component_id", kept.alias("kept")), numbers)
 
 
+def without_near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its columns."""
+    texts, numbers = numbered(documents)
+    if numbers is None:
+        kept = linked_components(texts, shingle_words, percent).where("id = component").select("id")
+        return documents.join(kept, documents["doc_id"].cast("long") == kept["id"], "left_semi")
+    kept = linked_components(materialize(texts, "texts"), shingle_words, percent).where("id = component").select("id")
+    kept = kept.join(numbers, "id").select(F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash"))
+    text = F.col("text").cast("string")
+    keyed = documents.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64(text, F.length(text))})
+    found = keyed.join(kept, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__hash")), "left_semi")
+    return found.dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by sets of two-word shingles that are alike by at least 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), 2).select("doc_id", "n_shingles", "component_id", "kept")

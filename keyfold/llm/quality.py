@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .frames import SPACES, byte_set, flat_bytes, flat_words, materialize, slices, table
 from .linear import fit_dense, platt, sigmoid
@@ -85,6 +85,10 @@ def page_numbers(data: np.ndarray, bounds: np.ndarray, n_chars: np.ndarray) -> n
     return np.log1p(np.stack([np.nan_to_num(n_chars), np.diff(at), mean, longest], 1))
 
 
+def _hashed(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.lower(F.col(column).cast("string"))), F.lit(_HASHED)).cast("int")
+
+
 def described(documents: DataFrame) -> DataFrame:
     """(doc_id, content, page, source, lang) of every row: its numbers, and hashed names."""
     schema = pa.schema([
@@ -100,9 +104,9 @@ def described(documents: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.float32())) for x in both]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *lists, part["source"], part["lang"]], schema=schema)
 
-    name = lambda c: F.pmod(F.xxhash64(F.lower(F.col(c).cast("string"))), F.lit(_HASHED)).cast("int").alias(c)
     rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("double").alias("n_chars"), name("source"), name("lang")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("double").alias("n_chars"),
+        _hashed("source").alias("source"), _hashed("lang").alias("lang"),
     )
     return rows.mapInArrow(measure, "doc_id long, content array<float>, page array<float>, source int, lang int")
 
@@ -171,10 +175,9 @@ def _scale(rows: DataFrame, column: str, n: int) -> np.ndarray:
     return np.array([x or 0.0 for x in rows.agg(*(p.alias(f"c{i}") for i, p in enumerate(parts))).collect()[0]]).reshape(2, n)
 
 
-def scored(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Every row with doc_id, the chance of good quality by content, by page and by both, and
-    ``rejected``. Labels of the held-out fold (as in ``toxicity``) are not used."""
-    spark = documents.sparkSession
+def fitted(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, Views]:
+    """The numbers of every row, and the models. Labels of the held-out fold (as in
+    ``toxicity``) are not used."""
     rows = materialize(described(documents), "described")
     known = F.broadcast(materialize(bounded(labels_of(labels, "quality"), fit_rows, 3), "labels"))  # bounded by fit_rows
     views = Views(_scale(rows, "content", len(CONTENT)), _scale(rows, "page", len(PAGE)))
@@ -184,7 +187,14 @@ def scored(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         numbers = [views.numbers(_matrix(x["content"]), _matrix(x["page"]), x["source"].to_numpy(), x["lang"].to_numpy()) if len(x) else None for x in (fit, pool)]
         none = tuple(x[:0] for x in numbers[0])
         views.fit(numbers[0], fit["label"].to_numpy(), numbers[1] or none)
-    sent = spark.sparkContext.broadcast(views)  # some hundred numbers
+    return rows, views
+
+
+def scored(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Every row with doc_id, the chance of good quality by content, by page and by both, and
+    ``rejected``."""
+    rows, views = fitted(documents, labels, fit_rows)
+    sent = documents.sparkSession.sparkContext.broadcast(views)  # some hundred numbers
     names = ["doc_id", "content_score", "page_score", "score", "rejected"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +207,29 @@ def scored(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     return rows.mapInArrow(score, "doc_id long, content_score double, page_score double, score double, rejected boolean")
 
 
+def good_documents(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows that are not rejected, with all their columns. They are scored where they
+    are read, so no text is shuffled and equal ids do not matter."""
+    _, views = fitted(documents, labels, fit_rows)
+    sent = documents.sparkSession.sparkContext.broadcast(views)
+    own = documents.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                data, bounds = flat_bytes(part["__text"])
+                chars = np.maximum(np.nan_to_num(part["__chars"].to_numpy(zero_copy_only=False).astype(float)), 0)
+                # Rounded as the numbers that the models were fitted on.
+                content, page = (x.astype(np.float32).astype(float) for x in (content_numbers(data, bounds), page_numbers(data, bounds, chars)))
+                numbers = sent.value.numbers(content, page, part["__source"].to_numpy(), part["__lang"].to_numpy())
+                yield part.filter(pa.array(sent.value.score(numbers)[:, 2] >= REJECT)).select(own)
+
+    rows = documents.withColumns({
+        "__text": F.col("text").cast("string"), "__chars": F.col("n_chars").cast("double"), "__source": _hashed("source"), "__lang": _hashed("lang"),
+    })
+    return rows.mapInArrow(keep, documents.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with both views' scores and the verdict."""
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

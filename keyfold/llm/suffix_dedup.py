@@ -303,16 +303,11 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
 _KEPT = pa.schema([
     ("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string()), ("kept", pa.binary()),
+    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string()), ("kept", pa.string()),
 ])
 
 
-def deduplicated(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept: bool = True) -> DataFrame:
-    """Every document with n_bytes, n_removed, the removed spans, and what stays: its digest
-    and, unless ``with_kept`` is false, the bytes."""
-    texts, numbers = numbered(documents)
-    if numbers is not None:
-        texts = materialize(texts, "texts")
+def _deduplicated(texts: DataFrame, length: int, gram: int, with_kept: bool) -> DataFrame:
     marks = repeats(texts, length, gram).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +328,7 @@ def deduplicated(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, w
                     left.append(text[end:s])
                     end = e
                 left = b"".join((*left, text[end:]))
-                row = (doc, len(text), len(text) - len(left), [{"start": s, "end": e} for s, e in spans], hashlib.sha256(left).hexdigest(), left if with_kept else None)
+                row = (doc, len(text), len(text) - len(left), [{"start": s, "end": e} for s, e in spans], hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if with_kept else None)
                 for column, value in zip(out, row):
                     column.append(value)
                 size += len(text)
@@ -342,9 +337,34 @@ def deduplicated(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, w
                     out, size = [[] for _ in _KEPT], 0
             yield _batch(_KEPT, *out)
 
-    schema = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
-    result = packed(texts).join(marks, "id", "left").select("id", "z", "marks").mapInArrow(keep, schema)
-    return renamed(documents, result, numbers)
+    schema = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept string"
+    return packed(texts).join(marks, "id", "left").select("id", "z", "marks").mapInArrow(keep, schema)
+
+
+def deduplicated(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept: bool = True) -> DataFrame:
+    """Every document with n_bytes, n_removed, the removed spans, and what stays: the digest of
+    its bytes and, unless ``with_kept`` is false, its text, less code points cut in two."""
+    texts, numbers = numbered(documents)
+    if numbers is not None:
+        texts = materialize(texts, "texts")
+    return renamed(documents, _deduplicated(texts, length, gram, with_kept), numbers)
+
+
+def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The documents with what stays as their text, and its code points as ``n_chars``."""
+    texts, numbers = numbered(documents)
+    text = F.col("text").cast("string")
+    keyed = documents.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(text, F.length(text))}).drop("text", "n_chars")
+    if numbers is None:
+        same = F.col("__id") == F.col("__number")
+        rest = _deduplicated(texts, length, gram, True).select("id", F.col("kept").alias("__kept"))
+    else:
+        rest = _deduplicated(materialize(texts, "texts"), length, gram, True).select("id", F.col("kept").alias("__kept"))
+        rest = rest.join(numbers.select("id", F.col("doc_id").alias("__doc"), F.col("hash").alias("__numbered")), "id")
+        same = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__numbered"))
+    rest = rest.withColumnRenamed("id", "__number")
+    found = keyed.join(rest, same).withColumn("text", F.col("__kept")).withColumn("n_chars", F.length("__kept").cast("long"))
+    return found.select(*documents.columns)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
