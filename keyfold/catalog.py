@@ -37,6 +37,7 @@ from .operators import (
 )
 from .plans import checks
 from .plans.five_state import keyed_state
+from .plans.hot import HOT_ROWS
 from .plans.payloads import as_text, result_lines, state_payloads, table_payloads
 from .plans.sinks import read_lines, write_lines
 from .sources import events_as_sequence, events_keyed, land_slices, open_slices, table
@@ -151,8 +152,9 @@ def parse_list_lines(spark, sf_dir):
 @register(
     "expected_list",
     _with(_COUNTS)
-    + """select key, 0::bigint as part, array_to_string(range(m), ' ') as items
-from counts where m > 0""",
+    + f"""select key, part,
+  array_to_string(range(part * {HOT_ROWS}, least(m, (part + 1) * {HOT_ROWS})), ' ') as items
+from (select *, unnest(range((m + {HOT_ROWS} - 1) // {HOT_ROWS})) as part from counts where m > 0)""",
 )
 def expected_list(spark, sf_dir):
     total = table(spark, sf_dir, "events").count()
@@ -251,9 +253,10 @@ def _(spark, sf_dir):
 @register(
     "list_state",
     _with(_KEYED)
-    + """select key, 0::bigint as part,
-  string_agg(cast(value as varchar), ' ' order by seq) as items
-from keyed group by key""",
+    + f"""select key, part, string_agg(cast(value as varchar), ' ' order by seq) as items
+from (select *, (row_number() over (partition by key order by seq) - 1) // {HOT_ROWS} as part
+      from keyed)
+group by key, part""",
 )
 def _(spark, sf_dir):
     parts = list_parts(events_keyed(spark, sf_dir))
@@ -289,8 +292,10 @@ def _(spark, sf_dir):
 @register(
     "map_state",
     _with(_KEYED)
-    + f"""select key, 0::bigint as part, string_agg(value || ',' || n, ' ' order by value) as hist
-from ({_HISTOGRAM}) group by key""",
+    + f"""select key, part, string_agg(value || ',' || n, ' ' order by value) as hist
+from (select *, (row_number() over (partition by key order by value) - 1) // {HOT_ROWS} as part
+      from ({_HISTOGRAM}))
+group by key, part""",
 )
 def _(spark, sf_dir):
     parts = histogram_parts(events_keyed(spark, sf_dir))
@@ -329,27 +334,32 @@ def _(spark, sf_dir):
 _LINES = f"""
 totals as (select key, cast(sum(value) as bigint) as total from keyed group by key),
 lists as (
-  select key, string_agg(cast(value as varchar), ' ' order by seq) as items
-  from keyed group by key),
+  select key, part, string_agg(cast(value as varchar), ' ' order by seq) as items
+  from (select *, (row_number() over (partition by key order by seq) - 1) // {HOT_ROWS} as part
+        from keyed)
+  group by key, part),
 hists as (
-  select key, string_agg(value || ',' || n, ' ' order by value) as hist
-  from ({_HISTOGRAM}) group by key)"""
+  select key, part, string_agg(value || ',' || n, ' ' order by value) as hist
+  from (select *, (row_number() over (partition by key order by value) - 1) // {HOT_ROWS} as part
+        from ({_HISTOGRAM}))
+  group by key, part)"""
 
 _FIVE_LINES = (
     _with(_KEYED, _LINES)
     + """select operator, key, 0::bigint as part, key || ' ' || total as line
 from totals, (values ('value_state'), ('reducing_state'), ('aggregating_state')) o(operator)
-union all select 'list_state', key, 0, key || ' ' || items from lists
-union all select 'map_state', key, 0, key || ' ' || hist from hists"""
+union all select 'list_state', key, part, key || ' ' || items from lists
+union all select 'map_state', key, part, key || ' ' || hist from hists"""
 )
 
 
 @register(
     "five_state",
     _with(_KEYED, _LINES)
-    + """select key, 0::bigint as part, total as value_state, total as reducing_state,
-  total as aggregating_state, items as list_state, hist as map_state
-from totals join lists using (key) join hists using (key)""",
+    + """select key, part, case when part = 0 then total end as value_state,
+  case when part = 0 then total end as reducing_state,
+  case when part = 0 then total end as aggregating_state, items as list_state, hist as map_state
+from totals join lists using (key) left join hists using (key, part)""",
 )
 def five_state(spark, sf_dir):
     return as_text(keyed_state(events_keyed(spark, sf_dir)))

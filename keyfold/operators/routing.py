@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numbers import int_div
-from ..plans.hot import HOT_ROWS, find_hot, small_side
+from ..plans.hot import HOT_ROWS, find_hot
 
 
 def route(
@@ -20,7 +20,7 @@ def route(
     if hot is None:
         placed = records.withColumn("lane", F.lit(0).cast("bigint"))
     else:
-        tags = small_side(hot.table, hot.keys)
+        tags = hot.table
         lanes = int_div(F.col("hot_rows") + hot_rows - 1, hot_rows)
         lane = F.coalesce(F.pmod(F.xxhash64("seq"), lanes), F.lit(0))
         placed = (

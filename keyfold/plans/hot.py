@@ -16,8 +16,6 @@ from ..workdir import materialize
 # Rows of one key that may meet in one row or one group. A list of that many numbers takes
 # some 10 MB while it is collected, and one task holds a hundred or so at a time.
 HOT_ROWS = 100_000
-# Largest small side sent to every executor. Above it the join shuffles.
-BROADCAST_ROWS = 100_000
 # Ranges that rows of hot keys are cut into: one per RANGE_ROWS rows, within bounds
 # that keep even a small case split and the number of tasks schedulable.
 RANGE_ROWS = 1_000_000
@@ -57,16 +55,14 @@ def find_hot(records: DataFrame, limit: int = HOT_ROWS) -> HotKeys | None:
     return HotKeys(hot, keys, rows, largest, limit)
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side of ``rows`` rows when that is few enough, else shuffle it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def split(records: DataFrame, hot: HotKeys | None) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys and rows of hot keys; every row is in exactly one."""
+    """Rows of ordinary keys and rows of hot keys; every row is in exactly one.
+
+    Spark broadcasts the hot keys if their table's bytes are few enough.
+    """
     if hot is None:
         return records, None
-    tags = small_side(hot.table.select("hot_key"), hot.keys)
+    tags = hot.table.select("hot_key")
     on = records["key"].eqNullSafe(tags["hot_key"])
     return records.join(tags, on, "left_anti"), records.join(tags, on, "left_semi")
 
@@ -100,7 +96,6 @@ def carry_forward(segments: DataFrame, hot: HotKeys, total: Column) -> DataFrame
             F.coalesce(F.sum("subtotal").over(before), F.lit(0)).alias("carried"),
         )
     )
-    carried = small_side(carried, hot.keys + hot.ranges)
     return segments.join(
         carried,
         segments["key"].eqNullSafe(carried["carry_key"])

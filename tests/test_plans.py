@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keyfold import catalog
 from keyfold.operators import histogram_rows, list_rows, value_state
 from keyfold.plans.five_state import keyed_state
-from keyfold.plans.hot import BROADCAST_ROWS, small_side
+from keyfold.plans.hot import find_hot, split
 from keyfold.sources import events_as_sequence, events_keyed, table
 
 
@@ -51,7 +51,12 @@ def test_a_saved_position_reaches_the_scan(spark, sf_dir):
     assert "GreaterThanOrEqual(event_id,500)" in plan(rest)
 
 
-def test_a_large_side_is_not_broadcast(spark, sf_dir):
-    df = table(spark, sf_dir, "events")
-    assert small_side(df, BROADCAST_ROWS + 1) is df
-    assert small_side(df, 10) is not df
+def test_small_sides_are_chosen_by_their_bytes(spark):
+    df = spark.range(100).selectExpr("id as seq", "id % 3 as key", "id as value")
+    ordinary, heavy = split(df, find_hot(df, 10))
+    assert "Broadcast" in plan(ordinary) and "Broadcast" in plan(heavy)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Broadcast" not in plan(split(df, find_hot(df, 10))[0])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
