@@ -365,6 +365,29 @@ def five_state(spark, sf_dir):
     return as_text(keyed_state(events_keyed(spark, sf_dir)))
 
 
+# Nulls: skipped by the folds, kept in list and map.
+_NULLED = """nulled as (
+  select seq, key, nullif(value % 7, 3) as value from keyed)"""
+
+
+@register(
+    "five_state_nulls",
+    _with(_KEYED, _NULLED)
+    + """select key, 0::bigint as part, cast(sum(value) as bigint) as value_state,
+  cast(sum(value) as bigint) as reducing_state, cast(sum(value) as bigint) as aggregating_state,
+  string_agg(coalesce(cast(value as varchar), 'null'), ' ' order by seq) as list_state,
+  any_value(map_state) as map_state
+from nulled join (
+  select key, string_agg(coalesce(cast(value as varchar), 'null') || ',' || n, ' '
+    order by value nulls first) as map_state
+  from (select key, value, count(*) as n from nulled group by key, value) group by key)
+using (key) group by key""",
+)
+def _(spark, sf_dir):
+    records = events_keyed(spark, sf_dir)
+    return as_text(keyed_state(records.withColumn("value", F.expr("nullif(value % 7, 3)"))))
+
+
 @register("five_state_lines", _FIVE_LINES)
 def _(spark, sf_dir):
     return result_lines(state_payloads(keyed_state(events_keyed(spark, sf_dir))))

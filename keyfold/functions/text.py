@@ -1,6 +1,7 @@
 """State as text lines, and text lines as typed rows.
 
-Fixed formats: ``key total``, ``key v0 v1 …`` and ``key v0,n0 v1,n1 …``.
+Fixed formats: ``key total``, ``key v0 v1 …`` and ``key v0,n0 v1,n1 …``. A null in a list or
+map reads ``null``.
 """
 
 from __future__ import annotations
@@ -8,18 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+NULL = "null"
+
+
 def scalar_text(value: Column) -> Column:
     return value.cast("string")
 
 
 def list_text(items: Column) -> Column:
-    return F.array_join(F.transform(items, lambda v: v.cast("string")), " ")
+    return F.array_join(F.transform(items, lambda v: v.cast("string")), " ", NULL)
 
 
 def histogram_text(entries: Column) -> Column:
     """``entries`` is an array of (value, n) structs in the order to print."""
     return F.array_join(
-        F.transform(entries, lambda e: F.concat_ws(",", e["value"], e["n"])), " "
+        F.transform(
+            entries, lambda e: F.concat_ws(",", F.coalesce(e["value"].cast("string"), F.lit(NULL)), e["n"])
+        ),
+        " ",
     )
 
 

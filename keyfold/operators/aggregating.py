@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import int_div
 from ..plans.hot import HOT_ROWS, HotKeys, find_hot, positions, split
-from .reducing import merge_levels, ordered, require_associative
+from .reducing import merge_levels, ordered, present, require_associative
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,9 @@ class ColumnAggregate:
     associative: bool = False
 
     def accumulate(self, items: Column) -> Column:
-        return F.aggregate(items, self.zero(), self.add)
+        """Nulls are skipped; a key of nulls only has a null accumulator, like its sum."""
+        values = present(items)
+        return F.when(F.size(values) > 0, F.aggregate(values, self.zero(), self.add))
 
 
 def sum_aggregate() -> ColumnAggregate:

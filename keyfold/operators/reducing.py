@@ -34,10 +34,15 @@ def reducing_state(records: DataFrame, how: str = "sum") -> DataFrame:
 
 
 def fold(values: Column, merge: Merge) -> Column:
-    """Fold an array of at least one element, left to right."""
+    """Fold an array left to right. Nulls are skipped, as by ``sum``; of nulls only, null."""
+    values = present(values)
     return F.reduce(F.slice(values, 2, F.size(values)), F.get(values, F.lit(0)), merge)
 
 
+def present(values: Column) -> Column:
+    return F.filter(values, lambda v: v.isNotNull())
+
+
 def ordered(order: str, item: str) -> Column:
     """Aggregate: the ``item`` values of the group as an array, ascending by ``order``."""
     pairs = F.sort_array(F.collect_list(F.struct(order, item)))
