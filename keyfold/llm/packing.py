@@ -232,14 +232,21 @@ def column_generation(lengths: np.ndarray, counts: np.ndarray, capacity: int, ro
         return []
     counts = counts.astype(np.int64)
     basis = np.diag(capacity // lengths).astype(float)
-    for _ in range(rounds):
-        worth = np.linalg.solve(basis.T, np.ones(len(lengths)))
-        gain, pattern = best_pattern(lengths, np.maximum(worth, 0), capacity)
+    inverse = np.linalg.inv(basis)
+    for turn in range(1, rounds + 1):
+        gain, pattern = best_pattern(lengths, np.maximum(inverse.sum(0), 0), capacity)
         if gain <= 1 + 1e-9:
             break
-        used, change = np.linalg.solve(basis, np.stack([counts, pattern], 1)).T
+        used, change = inverse @ counts, inverse @ pattern
         ratio = np.where(change > 1e-9, used / np.where(change > 1e-9, change, 1), np.inf)
-        basis[:, int(ratio.argmin())] = pattern
+        out = int(ratio.argmin())
+        basis[:, out] = pattern
+        if turn % 50:
+            row = inverse[out] / change[out]
+            inverse -= np.outer(change, row)
+            inverse[out] = row
+        else:  # afresh, so that errors do not add up
+            inverse = np.linalg.inv(basis)
     used = np.linalg.solve(basis, counts)
     plan, left = [], counts.copy()
     for column, times in zip(basis.T.round().astype(np.int64), np.floor(used + 1e-9).astype(np.int64)):
