@@ -2,19 +2,23 @@
 
 1. A document's set of word shingles gives a signature of ``BANDS * ROWS`` least hashes. Equal
    sets are one node from here on.
-2. Nodes that agree in all rows of a band share a bucket. A bucket elects one of its
-   members, by a hash of its own, and the others are compared with that one: one pair for
-   each member, not one for each two.
+2. Nodes that agree in all rows of a band share a bucket. A bucket elects the member that
+   has most company over all its buckets, most often the original of a group of copies, and the
+   others are compared with that one: one pair for each member, not one for each two.
 3. A pair's signatures are compared a batch at a time. After each batch the posterior of
    its similarity, from a flat prior, is a beta distribution; the pair is dropped once
    the chance that it reaches the threshold is under ``MISS``. What is left is compared
    on the full sets.
-4. Links give components. Where a bucket still has members of several, they are compared
-   with each other, but for those that cannot link: similarity's complement is a metric, so
-   a node further than twice the threshold's distance from the elected one cannot link to a
-   node within it. Where more than ``CROWD`` members are left in a bucket, only those that
-   share a second band are compared; a pair at the threshold shares two of 40 but for
-   three chances in a million.
+4. Links give components. Members of one bucket that are in different ones may still link.
+   Similarity's complement is a metric: a member *far* from the elected one, at over twice
+   the threshold's distance, cannot link to one that is linked to it. Others, *near* ones,
+   are known by what they lack of the elected set and what they add to it. If a set y lacks R
+   and adds A, a set x that is not linked to the elected one can link to y only if both
+   share over ``(100 R + p A) / (100 + p)`` of these differences, so one at least of any
+   ``R + A`` less that many of y's. These, added ones first, are looked up among all
+   differences of x. Far members are compared with the free members of their bucket; where
+   more than ``CROWD`` are far, with those of them that share a second band; a pair at the
+   threshold shares two of 40 but for three chances in a million.
 
 A pair at the threshold shares no bucket with a chance of (1 - 0.8**5)**40, about 1.3e-7.
 
@@ -28,11 +32,13 @@ there is one, names the component. Other columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
@@ -179,11 +185,23 @@ def compared(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(check, "a long, b long, survive boolean, near boolean")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    import zstandard
+def _paired(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, one, two): pairs with both texts, packed."""
+    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "id")
+    small = materialize(packed(texts.join(wanted, "id", "left_semi")), "packed")
+    one = small.select(F.col("id").alias("a"), F.col("z").alias("one"))
+    two = small.select(F.col("id").alias("b"), F.col("z").alias("two"))
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "one", "two")
+
+
+_EXACT = pa.schema([
+    ("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("some", pa.list_(pa.int64())), ("all", pa.list_(pa.int64())),
+])
+
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def exact(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) compared on the full sets: ``linked``, and the differences of a from b:
+    ``some``, of which a free node must share one to link to a, and ``all``, if a is free."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -193,50 +211,69 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
         last, theirs = None, np.empty(0, np.uint64)
         for batch in batches:
-            good = []
-            for i, b in enumerate(batch["b"].to_pylist()):
+            out: list[list] = [[] for _ in range(3)]
+            every, needs = [], []
+            names = batch["b"].to_pylist()
+            for i, b in enumerate(names):
                 if b != last:
                     last, theirs = b, shingles(batch["two"][i])
                 own = shingles(batch["one"][i])
-                common = len(np.intersect1d(own, theirs, assume_unique=True))
-                good.append(100 * common >= percent * (len(own) + len(theirs) - common))
-            kept = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept["a"], kept["b"]], schema=schema)
-
-    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "id")
-    small = materialize(packed(texts.join(wanted, "id", "left_semi")), "packed")
-    one = small.select(F.col("id").alias("a"), F.col("z").alias("one"))
-    two = small.select(F.col("id").alias("b"), F.col("z").alias("two"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
-
-
-def leftovers(members: DataFrame, labels: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs in one bucket that are in different components and could be linked."""
-    label = F.coalesce("component", "id").alias("component")
-    at = members.join(labels, "id", "left").select("bucket", "id", "pivot", "n_shingles", label)
-    mixed = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+                known = np.isin(own, theirs, assume_unique=True)
+                common = int(known.sum())
+                linked = 100 * common >= percent * (len(own) + len(theirs) - common)
+                added, lacked = own[~known], ~theirs[~np.isin(theirs, own, assume_unique=True)]
+                both = np.concatenate([added, lacked]).view(np.int64)
+                every.append(both)
+                needs.append((100 * len(lacked) + percent * len(added)) // (100 + percent))
+                out[0].append(linked)
+                out[2].append(None if linked else both)
+            # Of the differences that are enough, those that fewest neighbours in this batch share.
+            for _, star in itertools.groupby(range(len(names)), names.__getitem__):
+                star = list(star)
+                value, place, times = np.unique(np.concatenate([every[i] for i in star]), return_inverse=True, return_counts=True)
+                for i, often in zip(star, np.split(times[place], np.cumsum([len(every[i]) for i in star])[:-1])):
+                    out[1].append(every[i][np.argsort(often, kind="stable")[: len(every[i]) - needs[i]]])
+            columns = [pa.array(c, f.type) for c, f in zip(out, list(_EXACT)[2:])]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *columns], schema=_EXACT)
+
+    return _paired(pairs, texts).mapInArrow(check, "a long, b long, linked boolean, some array<long>, all array<long>")
+
+
+def related(found: DataFrame, company: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components that share differences from one elected node.
+
+    A node's first star is that of the elected node with most company that it is near to.
+    Two nodes with the same first star meet there, and in no other star that both are in.
+    """
+    name = lambda k: labels.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
+    first = found.join(company.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.max(F.struct("company", "b")).alias("m"))
+    known = materialize(found.join(first.select("a", F.col("m.b").alias("star")), "a").select("a", "b", "linked", "some", "all", "star"), "stars")
+    free = known.where("not linked").select(F.col("a").alias("x"), "b", F.col("star").alias("sx"), F.explode("all").alias("d"))
+    each = known.select(F.col("a").alias("y"), "b", F.col("star").alias("sy"), F.explode("some").alias("d"))
+    here = free.join(each, ["b", "d"]).where("x <> y and (sx <> sy or sx = b)").select("x", "y").distinct()
+    pairs = here.join(name("x"), "x", "left").join(name("y"), "y", "left")
+    apart = F.coalesce("cx", "x") != F.coalesce("cy", "y")
+    return pairs.where(apart).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
+def far_pairs(members: DataFrame, labels: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in one bucket of which one is far from its elected node."""
     how = stars.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "linked", "near")
-    rows = at.join(mixed, "bucket", "left_semi").join(how, ["id", "pivot"], "left")
-    # The elected one is linked to itself. ``kind``: 0 linked, 1 near, 2 far.
-    kind = F.when(F.coalesce("linked", F.lit(True)), 0).when(F.col("near"), 1).otherwise(2)
-    rows = materialize(rows.select("bucket", "id", "n_shingles", "component", kind.alias("kind"), (F.col("id") == F.col("pivot")).alias("elected")), "left")
-    free = rows.where("kind > 0")
-    crowds = materialize(free.groupBy("bucket").count().where(f"count > {CROWD}").select("bucket"), "crowds")
-    few = free.join(crowds, "bucket", "left_anti")
+    free = members.join(how, ["id", "pivot"]).where("not linked").join(labels, "id", "left")
+    free = free.select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component"), (~F.col("near")).alias("far"))
+    some = free.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("far").cast("int")).alias("n_far")).where("n_far > 0 and n > 1")
+    rows = materialize(free.join(some, "bucket"), "far")
+    few = rows.where(f"n_far <= {CROWD}")
     second = members.select("id", F.col("bucket").alias("other"))
-    many = free.join(crowds, "bucket").join(second, "id").where("other <> bucket")
-    many = many.withColumn("bucket", F.xxhash64("bucket", "other")).drop("other")
-    many = many.join(many.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi")
-    linked = rows.where("kind = 0 and not elected")
+    many = rows.where(f"n_far > {CROWD}").join(second, "id").where("other <> bucket").withColumn("bucket", F.xxhash64("bucket", "other"))
 
-    def pairs(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-        x = left.select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"))
-        y = right.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"))
-        fits = f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)" + " and x > y" * ordered
-        return x.join(y, "bucket").where(fits).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    def pairs(rows: DataFrame) -> DataFrame:
+        x, y = (rows.select("bucket", *(F.col(c).alias(c + k) for c in ("id", "component", "n_shingles", "far"))) for k in "xy")
+        far = x.where("farx").join(y, "bucket").where("(idx > idy or not fary) and componentx <> componenty")
+        fits = far.where(f"100 * least(n_shinglesx, n_shinglesy) >= {percent} * greatest(n_shinglesx, n_shinglesy)")
+        return fits.select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b"))
 
-    near = rows.where("kind = 1")
-    return pairs(few, few, True).unionByName(pairs(many, many, True)).unionByName(pairs(near, linked, False)).distinct()
+    return pairs(few).unionByName(pairs(many))
 
 
 def linked_components(texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -248,21 +285,23 @@ def linked_components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     own = node.where("id = node and n_shingles > 0").select("id")
     signed = materialize(signed.join(own, "id", "left_semi"), "sets")
     spread = signed.select("id", "n_shingles", F.explode("bands").alias("bucket"))
-    elected = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", "bucket"), "id")).alias("e"))
-    members = spread.join(elected.where("n > 1").select("bucket", F.col("e.id").alias("pivot")), "bucket")
-    members = materialize(members, "members")
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(spread.join(shared, "bucket"), "members")
+    company = materialize(members.groupBy("id").agg(F.sum("n").alias("company")), "company")
+    elected = members.join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", "id")).alias("e"))
+    members = materialize(members.join(elected.select("bucket", F.col("e.id").alias("pivot")), "bucket"), "members")
     stars = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     checked = materialize(compared(stars, signed, similarity), "compared")
-    links = materialize(confirmed(checked.where("survive"), texts, n, percent).withColumn("linked", F.lit(True)), "links")
-    labels = components(links)
-    status = checked.join(links, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"), "near")
-    more = materialize(leftovers(members, labels, status, percent), "leftovers")
+    found = materialize(exact(checked.where("near"), texts, n, percent), "exact")
+    labels = components(found.where("linked"))
+    status = checked.join(found.where("linked").select("a", "b", "linked"), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    more = materialize(related(found, company, labels).unionByName(far_pairs(members, labels, status, percent)).distinct(), "more")
     again = materialize(compared(more, signed, similarity).where("survive"), "compared")
     if again.take(1):
-        links = materialize(links.select("a", "b").unionByName(confirmed(again, texts, n, percent)), "links")
-        labels = components(links)
-    found = labels.select(F.col("id").alias("node"), "component")
-    return node.join(found, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("component"))
+        late = exact(again, texts, n, percent).where("linked").select("a", "b")
+        labels = components(found.where("linked").select("a", "b").unionByName(late))
+    named = labels.select(F.col("id").alias("node"), "component")
+    return node.join(named, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("component"))
 
 
 def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
