@@ -28,9 +28,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .frames import materialize, slices, table
+from .frames import flat_bytes, materialize, slices, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LEAF = 32  # stretches
@@ -150,6 +151,21 @@ def trees(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return _keyed(documents).mapInArrow(plant, "doc_id long, hash long, leaves binary")
 
 
+def _small(keyed: DataFrame) -> DataFrame:
+    """(doc_id, hash, z): texts made small for the way to their trees and edits."""
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("z", pa.binary())])
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, bounds = flat_bytes(part["text"])
+                z = [press.compress(data[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["hash"], pa.array(z, pa.binary())], schema=schema)
+
+    return keyed.mapInArrow(shrink, "doc_id long, hash long, z binary")
+
+
 def _keyed(documents: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, F.length(text)).alias("hash"), text.alias("text"))
@@ -164,12 +180,12 @@ def counted_after(documents: DataFrame, edits: DataFrame, planted: DataFrame, vo
     ])
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(vocabulary)
+        code, press = coder(vocabulary), zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "z", 1 << 20):
                 out: list[list] = [[] for _ in schema]
-                for doc, text, leaves, own in zip(*(part[k].to_pylist() for k in ("doc_id", "text", "leaves", "edits"))):
-                    text, own = text or "", sorted(own or (), key=lambda e: (e["seq"] is None, e["seq"] or 0))
+                for doc, z, leaves, own in zip(*(part[k].to_pylist() for k in ("doc_id", "z", "leaves", "edits"))):
+                    text, own = press.decompress(z).decode(), sorted(own or (), key=lambda e: (e["seq"] is None, e["seq"] or 0))
                     tree = Tree(np.frombuffer(leaves, "<u4").astype(int).reshape(-1, 2).tolist())
                     before, recoded = tree.total[1], 0
                     for e in own:
@@ -184,9 +200,9 @@ def counted_after(documents: DataFrame, edits: DataFrame, planted: DataFrame, vo
     tree = planted.dropDuplicates(["doc_id", "hash"]).withColumnsRenamed({"doc_id": "__doc", "hash": "__hash"})
     # Trees and edits meet first, so that the texts are moved once.
     ready = tree.join(each.withColumnRenamed("doc_id", "__of"), F.col("__doc") == F.col("__of"), "left")
-    keyed = _keyed(documents)
+    keyed = _small(_keyed(documents))
     same = keyed["doc_id"].eqNullSafe(ready["__doc"]) & (keyed["hash"] == ready["__hash"])
-    rows = keyed.join(ready, same).select("doc_id", "text", "leaves", "edits")
+    rows = keyed.join(ready, same).select("doc_id", "z", "leaves", "edits")
     return rows.mapInArrow(follow, "doc_id long, tokens_before long, tokens_after long, n_edits long, n_chars long, recoded_chars long, text string, leaves binary")
 
 
