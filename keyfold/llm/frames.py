@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,15 @@ from keyfold.workdir import fresh_dir, materialize  # noqa: F401
 SLICE_BYTES = 4 << 20
 
 
+def per_worker(name: tuple, make: Callable[[], Any]) -> Any:
+    """A value made once in each Python process. Functions of this package travel to the
+    workers by value, so a cache of their own would be empty in every task."""
+    kept = vars(sys).setdefault("_keyfold", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,6 @@ there is one, names the component. Other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -42,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
-from .frames import SPACES, flat_bytes, flat_words, materialize, numbered, renamed, slices, table
+from .frames import SPACES, flat_bytes, flat_words, materialize, numbered, per_worker, renamed, slices, table
 from .suffix_dedup import packed
 
 BANDS, ROWS = 40, 5
@@ -52,7 +51,6 @@ CROWD = 64
 _HASHES = BANDS * ROWS
 
 
-@functools.lru_cache(maxsize=1)
 def _salts() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(11)
     return rng.integers(0, 1 << 32, _HASHES, dtype=np.uint32), rng.integers(0, 1 << 31, _HASHES, dtype=np.uint32) * 2 + 1
@@ -140,7 +138,6 @@ def signatures(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(sign, "id long, n_shingles long, content long, bands array<long>, signature binary")
 
 
-@functools.cache
 def chance(matches: int, compared: int, similarity: float) -> float:
     """The posterior chance that the similarity is at least this, from a flat prior: a beta
     distribution's upper tail, which is a binomial's lower one."""
@@ -148,10 +145,10 @@ def chance(matches: int, compared: int, similarity: float) -> float:
     return sum(math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k) for k in range(matches + 1))
 
 
-@functools.cache
 def least_matches(compared: int, similarity: float) -> int:
     """Fewer matches than this and the pair is dropped."""
-    return next((m for m in range(compared + 1) if chance(m, compared, similarity) >= MISS), compared + 1)
+    found = lambda: next((m for m in range(compared + 1) if chance(m, compared, similarity) >= MISS), compared + 1)
+    return per_worker(("matches", compared, similarity, MISS), found)
 
 
 def compare(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:

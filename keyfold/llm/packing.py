@@ -14,7 +14,6 @@ table gives an empty table. Columns besides the id and the text are not looked a
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 import zlib
@@ -25,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .frames import LOWER, byte_set, flat_bytes, materialize, ranked, slices, table
+from .frames import LOWER, byte_set, flat_bytes, materialize, per_worker, ranked, slices, table
 
 CAPACITY = 2048
 UNIT = 64
@@ -140,11 +139,10 @@ class WordTokenizer:
         return flat[at], np.concatenate(([0], ends))[np.searchsorted(starts, bounds)]
 
 
-@functools.lru_cache(maxsize=2)
 def _tokenizer(name: str) -> WordTokenizer:
     import public_tokenizers
 
-    return WordTokenizer(public_tokenizers.path(name))
+    return per_worker(("words", name), lambda: WordTokenizer(public_tokenizers.path(name)))
 
 
 def encode(texts: pa.Array, name: str = TOKENIZER) -> Iterator[np.ndarray]:

@@ -26,7 +26,6 @@ an id last. An empty table gives an empty table. Other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -37,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .difference_cover import equal_neighbours, sort_suffixes
-from .frames import flat_bytes, materialize, numbered, renamed, slices, table
+from .frames import flat_bytes, materialize, numbered, per_worker, renamed, slices, table
 
 LENGTH = 100
 GRAM = 24
@@ -48,8 +47,11 @@ _PLACES = np.uint64((1 << 23) - 1)
 _U = np.uint64
 
 
-@functools.lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return per_worker(("powers",), _made_tables)
+
+
+def _made_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Random numbers for bytes, and powers of an odd base and of its inverse, modulo 2**64."""
     base, n = 0x9E3779B97F4A7C15, 1 << 22
     both = []

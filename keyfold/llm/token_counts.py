@@ -21,7 +21,6 @@ used. Other columns are not read.
 from __future__ import annotations
 
 import base64
-import functools
 import itertools
 import re
 from collections.abc import Callable, Iterator
@@ -31,7 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .frames import flat_bytes, materialize, slices, table
+from .frames import flat_bytes, materialize, per_worker, slices, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LEAF = 32  # stretches
@@ -43,8 +42,11 @@ _BOUND = re.compile(r"[^\W_](?=[ \n])|[!-/:-@\[-`{-~](?=[ \n])")
 Coder = Callable[[str], list[int]]
 
 
-@functools.lru_cache(maxsize=2)
 def coder(name: str) -> Coder:
+    return per_worker(("coder", name), lambda: _made_coder(name))
+
+
+def _made_coder(name: str) -> Coder:
     import public_tokenizers
     import tiktoken
 
