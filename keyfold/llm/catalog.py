@@ -24,8 +24,5 @@ QUERIES: dict[str, Query] = {
 }
 SQL: dict[str, str] = {
     "op10_decontamination": decontamination.OP10_SQL,
-    "op1_toxicity": toxicity.op1_toxicity,
-    "op2_quality": quality.op2_quality,
-    "op3_sharding": sharding.op3_sharding,
     "op6_quality_rules": quality_rules.OP6_SQL,
 }

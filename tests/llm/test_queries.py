@@ -29,3 +29,8 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     expected = sorted((tuple(r[i] for i in at) for r in cursor.fetchall()), key=repr)
     actual = sorted((tuple(r[c] for c in columns) for r in found.collect()), key=repr)
     assert actual == expected
+
+
+def test_sql_is_text_and_one_query_for_each_operator():
+    assert all(isinstance(sql, str) for sql in catalog.SQL.values())
+    assert sorted(int(name[2:].split("_")[0]) for name in catalog.QUERIES) == list(range(1, 11))
