@@ -30,7 +30,7 @@ CAPACITY = 2048
 UNIT = 64
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-_CACHED = 400_000  # words a worker remembers before it starts afresh
+_CACHED = 150_000  # words a worker remembers before it starts afresh
 _LONG_WORD = 64  # bytes; longer ones are not remembered
 
 

@@ -42,6 +42,7 @@ LENGTH = 100
 GRAM = 24
 UNIT_BYTES = 1 << 20  # longer texts are cut, with an overlap of a window
 BLOCK_BYTES = 1 << 20  # of run bytes sorted together
+_LONGEST = UNIT_BYTES + (1 << 14)  # bytes whose runs are found at a time
 PART_RUNS = 4096  # of one bucket in one task
 _PLACES = np.uint64((1 << 23) - 1)
 _U = np.uint64
@@ -53,7 +54,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _made_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Random numbers for bytes, and powers of an odd base and of its inverse, modulo 2**64."""
-    base, n = 0x9E3779B97F4A7C15, 1 << 22
+    base, n = 0x9E3779B97F4A7C15, _LONGEST
     both = []
     for b in (base, pow(base, -1, 1 << 64)):
         powers = np.ones(n, np.uint64)
