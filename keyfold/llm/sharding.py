@@ -7,6 +7,12 @@ quotas are set so that no shard leaves its capacity, and the moves of greatest g
 made. Nodes without links fill every shard up to its exact size afterwards. So the
 law ``rows`` holds at every step: counts of shards are at most one apart.
 
+The rounds end by themselves, after two in a row without a gain: one that fills roomy
+shards and one among all. What must grow is the sum, over groups and shards, of the squares of a
+group's members in a shard, a whole number that is bounded; so there is no set number of
+rounds. Where a node has one group, every move that is made adds to it. Where nodes have
+several, a round may lose; the best state met is the result.
+
 To the driver come only counts by shard pair and class of gain: at most shards squared
 times 64 rows. A group of any size is counted before it is shuffled, and its one row of
 counts is joined back, so that a hot group's rows can be split among tasks.
@@ -24,7 +30,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .frames import materialize, ranked, table
 
 SHARDS = 16
-ROUNDS = 8
 
 
 def capacities(rows: int, shards: int) -> list[int]:
@@ -54,10 +59,19 @@ def quotas(wishes: list[tuple[int, int, int, int]], room: list[int]) -> list[tup
     return out
 
 
-def wishes(links: DataFrame, state: DataFrame, open_shards: list[int], salt: int) -> DataFrame:
+def counted(links: DataFrame, state: DataFrame) -> DataFrame:
+    """(group, shard, n): members of each group in each shard."""
+    return materialize(links.join(state, "node").groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n")), "counts")
+
+
+def together(counts: DataFrame) -> int:
+    """Ordered pairs of a group's members in one shard, each with itself among them."""
+    n = F.col("n").cast("decimal(19,0)")
+    return int(counts.agg(F.sum((n * n).cast("decimal(38,0)")).alias("t")).first().t or 0)
+
+
+def wishes(links: DataFrame, state: DataFrame, counts: DataFrame, open_shards: list[int], salt: int) -> DataFrame:
     """(node, shard, to, class): nodes with more neighbours in another open shard."""
-    at = links.join(state, "node")
-    counts = at.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
     order = lambda: F.struct("n", F.xxhash64("group", "shard", F.lit(salt)), "shard")
     best = counts.groupBy("group").agg(
         F.max(F.when(F.col("shard").isin(open_shards), order())).alias("best"),
@@ -65,7 +79,8 @@ def wishes(links: DataFrame, state: DataFrame, open_shards: list[int], salt: int
     )
     gain = F.col("best.n") - F.element_at("each", F.col("shard"))
     moves = (
-        at.join(best, "group")
+        links.join(state, "node")
+        .join(best, "group")
         .select("node", "shard", F.col("best.shard").alias("to"), gain.alias("gain"))
         .where("to <> shard and gain >= 0")
     )
@@ -74,38 +89,40 @@ def wishes(links: DataFrame, state: DataFrame, open_shards: list[int], salt: int
     return strongest.select("node", "shard", F.col("m.to").alias("to"), F.floor(F.log2(F.col("m.gain") + 1)).cast("int").alias("class"))
 
 
-def propagate(links: DataFrame, shards: int, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
+def propagate(links: DataFrame, shards: int, capacity: list[int]) -> DataFrame:
     """(node, shard) of all linked nodes. ``links`` (node, group) should be a written table."""
     spark = links.sparkSession
     nodes = materialize(links.select("node").distinct(), "nodes")
     state = ranked(nodes, [], ["node"], "place").select("node", F.pmod("place", F.lit(shards)).cast("int").alias("shard"))
-    state, idle = materialize(state, "state"), 0
-    for turn in range(rounds):
+    state = materialize(state, "state")
+    counts = counted(links, state)
+    found, most, turn, idle = state, together(counts), 0, 0
+    while idle < 2:
         held = dict(map(tuple, state.groupBy("shard").count().collect()))
         room = [c - held.get(j, 0) for j, c in enumerate(capacity)]
         roomy = [j for j, r in enumerate(room) if r > 0]
         open_shards = roomy if roomy and turn % 2 == 0 else list(range(shards))
-        moves = materialize(wishes(links, state, open_shards, turn // 2), "wishes")
+        moves = materialize(wishes(links, state, counts, open_shards, turn // 2), "wishes")
         asked = [tuple(r) for r in moves.groupBy("shard", "to", "class").count().collect()]
         granted = quotas(asked, room)
+        turn, idle = turn + 1, idle + 1
         if not granted:
-            idle += 1
-            if idle == 2:
-                break
             continue
-        idle = 0
         # At most shards * shards * 64 rows.
         limits = F.broadcast(spark.createDataFrame(granted, "shard int, to int, class int, most long"))
         chosen = ranked(moves, ["shard", "to", "class"], ["node"], "place").join(limits, ["shard", "to", "class"])
         going = chosen.where("place < most").select("node", "to")
         state = materialize(state.join(going, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")), "state")
-    return state
+        counts = counted(links, state)
+        if (now := together(counts)) > most:
+            found, most, idle = state, now, 0
+    return found
 
 
-def balanced_shards(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def balanced_shards(nodes: DataFrame, links: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``nodes`` (with ``node``, unique) with ``shard`` and ``slot``, its place there from 0."""
     capacity = capacities(nodes.count(), shards)
-    linked = propagate(links, shards, capacity, rounds)
+    linked = propagate(links, shards, capacity)
     held = dict(map(tuple, linked.groupBy("shard").count().collect()))
     free = nodes.join(linked, "node", "left_anti").select("node")
     ends, end = [], 0

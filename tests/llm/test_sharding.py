@@ -50,3 +50,15 @@ def test_query(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     found = s.op3_sharding(spark, sf_dir)
     check(found.collect(), docs)
+
+
+def test_a_group_of_a_third_of_all_rows(spark):
+    """Beside smaller groups. After eight rounds 0.833 of the edges are cut, at rest 0.804."""
+    texts = ["hot"] * 1000 + [f"m{i % 3}" for i in range(450)] + [f"g{i // 30}" for i in range(450)] + [f"p{i // 2}" for i in range(500)]
+    texts += [f"u{i}" for i in range(3000 - len(texts))]
+    nodes, links = s.equal_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    placed = s.balanced_shards(nodes, links)
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) <= 1
+    cut = s.cut_edges(links, placed).collect()[0]
+    assert cut.edges == 539_800 and float(cut.cut) <= 0.82 * float(cut.edges)
