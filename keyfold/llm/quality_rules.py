@@ -5,8 +5,10 @@ that a document fails. A policy is a version with the mask of the rules it enfor
 one bitwise and; what each rule alone costs is computed from the counts per mask, of which
 there are at most two to the number of rules.
 
-Everything is a built-in expression on one row: no shuffle, no Python. Windows of words are
-compared by the 64-bit hashes of their words' hashes.
+The ledger is written once; the verdicts and ablations of all versions are read from it. SQL
+fixes the columns of the query, so it returns the verdicts of the base and the current version.
+Everything is a built-in expression on one row: no Python, and no shuffle but that of the
+counts per mask. Windows of words are compared by the 64-bit hashes of their words' hashes.
 
 Defined results: a null text has no words, like an empty one, and fails ``few_words``. A
 line is what stands between newlines; only lines with a word count. Repeated rows are judged
@@ -19,7 +21,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .frames import table
+from .frames import materialize, table
 
 WINDOW = 5
 
@@ -118,28 +120,42 @@ def passes(policy: Policy) -> Column:
     return F.col("failed").bitwiseAND(F.lit(policy.mask)) == 0
 
 
+def verdicts(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
+    """The ledger's rows with ``kept_<version>`` for each policy."""
+    return rows.select("*", *(passes(p).alias(f"kept_{p.version}") for p in policies))
+
+
 def ablations(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
     """For each version and rule: documents kept, and kept if that rule were left out."""
     masks = rows.groupBy("failed").agg(F.count(F.lit(1)).alias("n"))
-    plan = [(p.version, r.name, p.mask, p.mask & ~(1 << i)) for p in policies for i, r in enumerate(RULES) if r.name in p.rules]
-    each = rows.sparkSession.createDataFrame(plan, "version string, rule string, mask long, without long")
-    # Rows of masks are bounded by the number of rules, rows of ``each`` by that of policies.
-    both = masks.withColumn("plan", F.lit(1)).join(F.broadcast(each.withColumn("plan", F.lit(1))), "plan")
-    kept = lambda mask: F.sum(F.when(F.col("failed").bitwiseAND(F.col(mask)) == 0, F.col("n")).otherwise(0))
-    return both.groupBy("version", "rule").agg(kept("mask").alias("kept"), kept("without").alias("kept_without"))
+    kept = lambda mask: F.coalesce(F.sum(F.when(F.col("failed").bitwiseAND(F.lit(mask)) == 0, F.col("n"))), F.lit(0))
+    plan = [(p, r, 1 << i) for p in policies for i, r in enumerate(RULES) if r.name in p.rules]
+    each = [
+        F.struct(F.lit(p.version).alias("version"), F.lit(r.name).alias("rule"), kept(p.mask).alias("kept"), kept(p.mask & ~bit).alias("kept_without"))
+        for p, r, bit in plan
+    ]
+    return masks.agg(F.array(*each).alias("each")).select(F.inline("each"))
+
+
+def judged(documents: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> tuple[DataFrame, DataFrame]:
+    """Verdicts and ablations of all versions, both from one ledger that is written once."""
+    rows = materialize(ledger(documents), "ledger")
+    return verdicts(rows, policies), materialize(ablations(rows, policies), "ablations")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements and verdict of every document under the current policy."""
-    return ledger(table(spark, sf_dir, "documents")).select(
+    """Measurements and verdict of every document under the current policy. The ledger and
+    the ablations of every version stay in the shared folder."""
+    rows, _ = judged(table(spark, sf_dir, "documents"))
+    return rows.select(
         "doc_id",
         "n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        (~passes(BASE)).alias("base_failed"),
-        passes(CURRENT).alias("kept"),
+        (~F.col(f"kept_{BASE.version}")).alias("base_failed"),
+        F.col(f"kept_{CURRENT.version}").alias("kept"),
         "failed",
     )
 

@@ -48,3 +48,21 @@ def test_ablations_equal_a_second_evaluation(spark, sf_dir):
 def test_no_shuffle_and_no_python(spark, sf_dir):
     plan = q.op6_quality_rules(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_judges_every_version_from_one_ledger(spark, sf_dir, monkeypatch):
+    written, keep = {}, q.materialize
+    monkeypatch.setattr(q, "materialize", lambda df, name: written.setdefault(name, keep(df, name)))
+    rows = {r.doc_id: r for r in q.op6_quality_rules(spark, sf_dir).collect()}
+    assert sorted(written) == ["ablations", "ledger"]
+    assert {r.version for r in written["ablations"].collect()} == {p.version for p in q.POLICIES}
+    for r in q.verdicts(written["ledger"]).collect():
+        for p in q.POLICIES:
+            assert r[f"kept_{p.version}"] == (r.failed & p.mask == 0)
+        assert rows[r.doc_id].kept == r.kept_2 and rows[r.doc_id].base_failed == (not r.kept_base)
+
+
+def test_ablations_join_nothing(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 3), (3, 32)], "doc_id long, failed long")
+    assert "Join" not in q.ablations(rows)._jdf.queryExecution().executedPlan().toString()
+    assert all(r.kept == r.kept_without == 0 for r in q.ablations(rows.limit(0)).collect())
