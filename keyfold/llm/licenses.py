@@ -13,7 +13,7 @@ A least hash can only agree with a template's if the shingle that has it is one
 template's. So windows without any shingle of a template, nearly all, are left out before
 they are hashed, which changes no result.
 
-Everything is a built-in expression; a row is shuffled only for a window with a shingle of a template. What is broadcast is made from the fixed
+Everything is a built-in expression; a row is shuffled only for a window with a shingle of a template. What is broadcast is made from the
 templates alone.
 
 Defined results: a null text is an empty one, without licenses. A text of fewer than five
@@ -34,8 +34,21 @@ WINDOW, STEP = 12, 6
 BANDS = 96
 PERCENT = 80
 
-# Names of licenses and usual wordings of their notices.
+# Names of licenses and usual wordings of their notices, of which a license may
+# have several. Each is short enough that the same notice of another license or version
+# lacks over a fifth of its shingles. ``bsd-conditions`` is the paragraph of all BSD licenses.
 TEMPLATES: tuple[tuple[str, str], ...] = (
+    ("agpl-3.0", "the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("bsd-3-clause", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-conditions", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("cc-by-4.0", "Licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-nc-4.0", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-sa-4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("gpl-2.0", "the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("gpl-3.0", "the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("lgpl-2.1", "the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("lgpl-3.0", "the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("agpl-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("bsd-3-clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
@@ -87,18 +100,22 @@ def banded(cut: DataFrame) -> DataFrame:
     )
 
 
-def template_rows(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> DataFrame:
-    """(license, shingles) with each shingle once."""
-    rows = with_shingles(spark.createDataFrame([tuple(t) for t in templates], "license string, text string"))
-    return rows.select("license", "shingles")
+def template_rows(spark: SparkSession, templates: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
+    """(template, license, shingles) of each wording; a license may have several."""
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame([tuple(t) for t in templates], "license string, text string")
+    return with_shingles(templates.select(F.xxhash64("license", "text").alias("template"), "license", "text").dropDuplicates(["template"]))
 
 
-def scan(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def scan(
+    documents: DataFrame, templates: Sequence[tuple[str, str]] | DataFrame = TEMPLATES, percent: int = PERCENT
+) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, n_shingles) of every row, and the verified (row, license, shared, of,
-    first), ``first`` being the word at which the first window that led to it begins."""
+    first): the wording of the license that is held most wholly, ``first`` being the word at
+    which the first window that led to any begins. ``templates`` may be a table (license, text)."""
     spark = documents.sparkSession
     own = template_rows(spark, templates)
-    known = sorted({h for r in own.collect() for h in r.shingles})  # of the fixed templates
+    known = sorted({h for r in own.collect() for h in r.shingles})  # of the templates
     rows = documents.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
@@ -115,17 +132,20 @@ def scan(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
         F.array_distinct(F.transform("__hits", lambda i: F.get("shingles", i))).alias("held"), parts.alias("windows"),
     )
     found = materialize(found, "scanned")
-    bands = F.broadcast(banded(windows(own, 1)).select("license", "band", "least").distinct())
+    bands = F.broadcast(banded(windows(own, 1)).select("template", "band", "least").distinct())
     near = banded(found.where(F.size("windows") > 0).select("row", F.inline("windows"))).join(bands, ["band", "least"])
-    candidates = near.groupBy("row", "license").agg(F.min("begin").alias("first"))
-    sets = F.broadcast(own.select("license", F.array_distinct("shingles").alias("wanted")))
+    candidates = near.groupBy("row", "template").agg(F.min("begin").alias("first"))
+    sets = F.broadcast(own.select("template", "license", F.array_distinct("shingles").alias("wanted")))
     shared = F.size(F.array_intersect("held", "wanted"))
     verified = (
         candidates.join(found.select("row", "held"), "row")
-        .join(sets, "license")
+        .join(sets, "template")
         .select("row", "license", shared.cast("long").alias("shared"), F.size("wanted").cast("long").alias("of"), F.col("first").cast("long").alias("first"))
         .where(f"100 * shared >= {percent} * of")
     )
+    best = F.max(F.struct((F.col("shared") / F.col("of")).alias("share"), "shared", "of")).alias("best")
+    verified = verified.groupBy("row", "license").agg(best, F.min("first").alias("first"))
+    verified = verified.select("row", "license", "best.shared", "best.of", "first")
     return found.select("row", "doc_id", "n_shingles"), verified
 
 

@@ -47,3 +47,33 @@ def test_query(spark, sf_dir):
     got = {r.doc_id: (r.licenses, r.n_licenses) for r in found.collect()}
     assert got == {r.doc_id: (",".join(brute(r.text)), len(brute(r.text))) for r in docs}
     assert sum(n for _, n in got.values()) > 3
+
+
+def test_usual_notices(spark):
+    gnu = "it under the terms of the GNU {} as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version."
+    free = "This program is free software: you can redistribute it and/or modify\n * "
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. "
+    third = "Neither the name of Acme Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    pages = [
+        (free + gnu.format("General Public License", "3"), ["gpl-3.0"]),
+        (free + gnu.format("General Public License", "2"), ["gpl-2.0"]),
+        (free + gnu.format("Lesser General Public License", "3"), ["lgpl-3.0"]),
+        (free + gnu.format("Lesser General Public License", "2.1"), ["lgpl-2.1"]),
+        (free + gnu.format("Affero General Public License", "3"), ["agpl-3.0"]),
+        (bsd + third, ["bsd-3-clause", "bsd-conditions"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", ["isc"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["cc-by-sa-4.0"]),
+        ("\n".join(t for n, t in l.TEMPLATES if n == "isc"), ["isc"]),
+    ]
+    rows, found = l.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pages)], "doc_id long, text string"))
+    got = {}
+    for r in rows.join(found, "row").collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert {i: sorted(v) for i, v in got.items()} == {i: v for i, (_, v) in enumerate(pages)}
+
+
+def test_templates_as_a_table(spark):
+    own = spark.createDataFrame([("x", "one two three four five six"), ("x", "six five four three two one")], "license string, text string")
+    docs = spark.createDataFrame([(1, "one two three four five six. Six five four three two one"), (2, "one two")], "doc_id long, text string")
+    rows, found = l.scan(docs, own)
+    assert [(r.doc_id, r.license, r.shared, r.of, r.first) for r in rows.join(found, "row").collect()] == [(1, "x", 2, 2, 0)]
