@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontamination, licenses, near_duplicates, packing, pieces, quality, quality_rules, sharding, suffix_dedup, token_counts, toxicity
+from . import centroids, decontamination, divergence, licenses, near_duplicates, packing, pieces, quality, quality_rules, sharding, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_centroids": centroids.op11_centroids,
+    "op12_divergence": divergence.op12_divergence,
     "op13_pieces": pieces.op13_pieces,
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality": quality.op2_quality,
@@ -27,5 +28,6 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op10_decontamination": decontamination.OP10_SQL,
     "op11_centroids": centroids.OP11_SQL,
+    "op12_divergence": divergence.OP12_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
 }
