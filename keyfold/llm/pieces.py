@@ -5,13 +5,18 @@ markers at their beginning only can never join what stands on both sides of a wo
 A text is therefore a row of *chunks*, each one or more markers and the word after them,
 which are segmented by themselves.
 
-1. Documents are cut into chunks in slices of some megabytes. A slice keeps the chunks it
-   holds once, each under a number, and its documents as rows of these numbers.
-2. Each distinct chunk of all slices is segmented once, and its ids decoded once.
-3. The slices' chunks are joined with that table, and a slice's numbers with its chunks'
-   ids, by position. Texts are not shuffled; a frequent word moves once for each slice.
-
-A task holds one slice and its chunks; a longer text is a slice of its own.
+1. Chunks are counted over all documents, those that a slice of documents holds once aside.
+   The most frequent make the distinct-chunk table, as many as ``TABLE`` at most: the least
+   count is found in a histogram of all counts. Each of them is segmented once, and its ids
+   decoded once; the table has a proven bound (``TABLE`` chunks of ``LONGEST`` characters) and
+   goes to every worker.
+2. Documents are cut again in slices. A slice numbers its distinct chunks, takes the ids of
+   those in the table from there, segments each of the others once, and joins the ids back to
+   its documents by position. What is not in the table is rare, and as a rule in one slice only.
+
+Moving every slice's chunks to a table of all of them, and every position back, was built
+first: with a vocabulary that grows with the texts it moves more than the texts themselves.
+A task holds one slice; a longer text is a slice of its own.
 
 Defined results: a null text is an empty one, without ids, and decodes to an empty text.
 Marker characters in a text are white space. Rows with the same or no id each have their
@@ -23,20 +28,22 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
 from .frames import materialize, per_worker, table
 
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 4 << 20
+#: The distinct-chunk table: chunks at most, and characters of one.
+TABLE, LONGEST = 1 << 16, 32
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 _CHUNK = re.compile(" +[^ ]*")
@@ -75,100 +82,113 @@ def segment(held: sentencepiece.SentencePieceProcessor, cut: list[str]) -> tuple
     return ids, held.decode(ids, num_threads=1)
 
 
-def sliced(documents: DataFrame, most: int = SLICE_CHARS) -> DataFrame:
-    """Written rows of two kinds. Kind 0, one a slice: ``docs``, ``sizes`` and ``places``: the
-    chunks' numbers of all its documents in a row. Kind 1: ``chunk`` and its number ``at``."""
-    schema = pa.schema([
-        ("kind", pa.int32()), ("slice", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary()),
-        ("at", pa.int32()), ("chunk", pa.string()),
-    ])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        number = TaskContext.get().partitionId() << 32
-        docs: list = []
-        sizes: list[int] = []
-        known: dict[str, int] = {}
-        places, held = array("i"), 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            packed = press.compress(places.tobytes())
-            yield _record(schema, {"kind": [0], "slice": [number], "docs": [docs], "sizes": [sizes], "places": [packed]}, 1)
-            if known:
-                n = len(known)
-                yield _record(schema, {"kind": [1] * n, "slice": [number] * n, "at": range(n), "chunk": list(known)}, n)
+def read_slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[list[str]]]]:
+    """Ids and chunks of the documents of each slice."""
+    docs: list = []
+    cut: list[list[str]] = []
+    held = 0
+    for batch in batches:
+        for doc, scalar in zip(batch["doc_id"], batch["text"]):
+            text = scalar.as_py() or ""
+            if docs and held + len(text) > most:
+                yield docs, cut
+                docs, cut, held = [], [], 0
+            docs.append(doc.as_py())
+            cut.append(chunks(text))
+            held += len(text)
+    if docs:
+        yield docs, cut
 
-        for batch in batches:
-            for doc, scalar in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                text = scalar.as_py()
-                if docs and held + len(text or "") > most:
-                    yield from flush()
-                    docs, sizes, known, places, held = [], [], {}, array("i"), 0
-                    number += 1
-                here = chunks(text)
-                places.extend([known.setdefault(c, len(known)) for c in here])
-                docs.append(doc)
-                sizes.append(len(here))
-                held += len(text or "")
-        if docs:
-            yield from flush()
 
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = "kind int, slice long, docs array<long>, sizes array<int>, places binary, at int, chunk string"
-    return materialize(own.mapInArrow(cut, kinds), "slices", ("kind",))
+def chunk_counts(documents: DataFrame, most: int = SLICE_CHARS) -> DataFrame:
+    """(chunk, n): how often chunks stand in all documents, those aside that a slice holds once."""
+    schema = pa.schema([("chunk", pa.string()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cut in read_slices(batches, most):
+            held: Counter = Counter()
+            for one in cut:
+                held.update(one)
+            often = {c: n for c, n in held.items() if n > 1 and len(c) <= LONGEST}
+            yield pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], schema=schema)
+
+    return own_texts(documents).mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+
 
+def own_texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-def _record(schema: pa.Schema, columns: dict, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+def frequent(counts: DataFrame, most: int = TABLE) -> DataFrame:
+    """The most frequent chunks, ``most`` at most: all from a size of counts on, in steps of some 4 %."""
+    counts = materialize(counts.withColumn("size", F.floor(16 * F.log2("n"))), "chunks")
+    taken, least = 0, None
+    for row in counts.groupBy("size").count().orderBy(F.col("size").desc()).collect():  # 1,008 rows at most
+        taken += row["count"]
+        if taken > most:
+            break
+        least = row["size"]
+    return counts.where(F.col("size") >= F.lit(least)).select("chunk")  # none if there is no least
 
 
 def chunk_table(words: DataFrame, model: str) -> DataFrame:
-    """(chunk, ids, decoded) of each distinct chunk; ``decoded`` is what stands behind the first
-    marker, null if that is the chunk's own text."""
+    """(chunk, ids, decoded) of each chunk; ``decoded`` is what stands behind the first marker."""
     schema = pa.schema([("chunk", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = load(model)
         for batch in batches:
-            cut = batch["chunk"].to_pylist()
-            ids, back = segment(held, cut)
-            odd = [None if c[1:] == b else b for c, b in zip(cut, back)]
-            yield pa.RecordBatch.from_arrays([batch["chunk"], pa.array(ids, schema.field("ids").type), pa.array(odd, pa.string())], schema=schema)
+            ids, back = segment(held, batch["chunk"].to_pylist())
+            yield pa.RecordBatch.from_arrays([batch["chunk"], pa.array(ids, schema.field("ids").type), pa.array(back, pa.string())], schema=schema)
 
     return words.select("chunk").distinct().mapInArrow(write, "chunk string, ids array<int>, decoded string")
 
 
-def encode(documents: DataFrame, model: str) -> DataFrame:
+class Numbers(dict):
+    """The number of each chunk, given when it is first asked for."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = len(self)
+        return len(self) - 1
+
+
+def encode(documents: DataFrame, model: str, most: int = SLICE_CHARS, size: int = TABLE) -> DataFrame:
     """(doc_id, ids, decoded) of every row (doc_id, text): its ids, and the text that they decode to."""
     load(model)  # refused here, not in a task
-    both = sliced(documents)
-    words = both.where("kind = 1").select("slice", "at", "chunk")
-    pieces = words.join(chunk_table(words, model), "chunk").select("slice", "at", "ids", F.coalesce("decoded", F.expr("substring(chunk, 2)")).alias("decoded"))
+    rows = chunk_table(frequent(chunk_counts(documents, most), size), model).collect()  # ``size`` rows at most
+    table = {r["chunk"]: (array("i", r["ids"]), r["decoded"]) for r in rows}
+    shared = documents.sparkSession.sparkContext.broadcast(table)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return schema.empty_table()
-        docs, sizes = left["docs"][0].as_py(), np.array(left["sizes"][0].as_py(), np.int64)
-        order = np.argsort(right["at"].to_numpy())
-        places = np.frombuffer(zstandard.ZstdDecompressor().decompress(left["places"][0].as_py()), np.int32)
-        ids = right["ids"].combine_chunks()
-        bounds = ids.offsets.to_numpy().astype(np.int64)
-        flat = ids.values.to_numpy()
-        begins, lengths = bounds[:-1][order][places], np.diff(bounds)[order][places]
-        back = right["decoded"].combine_chunks().take(pa.array(order)).to_pylist()
-        ends = np.cumsum(sizes)
-        columns: list[list] = [[], []]
-        for begin, end in zip(ends - sizes, ends):
-            n = lengths[begin:end]
-            total = np.cumsum(n)
-            at = np.repeat(begins[begin:end] - (total - n), n) + np.arange(total[-1] if len(total) else 0)
-            columns[0].append(flat[at])
-            columns[1].append(" ".join([back[i] for i in places[begin:end].tolist()]))
-        return pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.array(columns[0], schema.field("ids").type), pa.array(columns[1], pa.string())], schema=schema)
-
-    rows = both.where("kind = 0").select(F.col("slice").alias("of"), "docs", "sizes", "places")
-    return rows.groupBy("of").cogroup(pieces.groupBy("slice")).applyInArrow(join, "doc_id long, ids array<int>, decoded string")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = load(model), shared.value
+        for docs, cut in read_slices(batches, most):
+            numbers = Numbers()
+            places = [np.fromiter(map(numbers.__getitem__, one), np.int64, len(one)) for one in cut]
+            cut = [None] * len(cut)
+            pairs = list(map(known.get, numbers))
+            rare = [c for c, p in zip(numbers, pairs) if p is None]
+            new = iter(zip(*segment(held, rare)))
+            pairs = [next(new) if p is None else p for p in pairs]
+            back = [p[1] for p in pairs]
+            lengths = np.fromiter((len(p[0]) for p in pairs), np.int64, len(pairs))
+            flat = np.fromiter(chain.from_iterable(p[0] for p in pairs), np.int32, int(lengths.sum()))
+            begins = np.cumsum(lengths) - lengths
+            for begin in range(0, len(docs), 512):
+                some = places[begin : begin + 512]
+                ids = [_joined(flat, begins[p], lengths[p]) for p in some]
+                texts = [" ".join([back[i] for i in p.tolist()]) for p in some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs[begin : begin + 512], pa.int64()), pa.array(ids, schema.field("ids").type), pa.array(texts, pa.string())], schema=schema
+                )
+
+    return own_texts(documents).mapInArrow(write, "doc_id long, ids array<int>, decoded string")
+
+
+def _joined(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` with these bounds, one after the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

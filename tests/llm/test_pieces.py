@@ -19,8 +19,9 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
 
-def check(spark, library, rows, parts=3):
-    found = sorted(((r.doc_id, list(r.ids), r.decoded) for r in m.encode(spark.createDataFrame(rows, SCHEMA).repartition(parts), MODEL).collect()), key=repr)
+def check(spark, library, rows, **more):
+    encoded = m.encode(spark.createDataFrame(rows, SCHEMA).repartition(3), MODEL, **more)
+    found = sorted(((r.doc_id, list(r.ids), r.decoded) for r in encoded.collect()), key=repr)
     ids = [library.encode(t or "") for _, t in rows]
     assert found == sorted(((d, i, library.decode(i) if i else "") for (d, _), i in zip(rows, ids)), key=repr)
 
@@ -47,14 +48,18 @@ def test_slices_and_long_texts(spark, library, monkeypatch):
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     rows = [(i, text(rng.randrange(30))) for i in range(200)] + [(900, text(60_000)), (901, "ab" * 200_000)]
-    check(spark, library, rows, 2)
-    documents = spark.createDataFrame(rows, SCHEMA).coalesce(1)
-    assert m.sliced(documents, 500).where("kind = 0").count() > 20
+    check(spark, library, rows, most=500, size=40)
+    check(spark, library, rows, size=0)
+    check(spark, library, rows)
 
 
-def test_each_distinct_chunk_once(spark):
-    words = spark.createDataFrame([(0, 0, " a"), (0, 1, " b"), (1, 0, " a")], "slice long, at int, chunk string")
-    assert sorted(r.chunk for r in m.chunk_table(words, MODEL).collect()) == [" a", " b"]
+def test_the_table_holds_each_frequent_chunk_once(spark):
+    rows = [(i, "a b " * (i % 3) + f"only{i} twice twice" + " c" * 5000) for i in range(9)]
+    counts = m.chunk_counts(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    assert {r.chunk: r.n for r in counts.collect()} == {" a": 9, " b": 9, " twice": 18, " c": 45000}
+    assert [sorted(r.chunk for r in m.frequent(counts, n).collect()) for n in (0, 1, 2, 3, 9)] == [[], [" c"], [" c", " twice"], [" c", " twice"], [" a", " b", " c", " twice"]]
+    table = m.chunk_table(counts.union(counts), MODEL).collect()
+    assert sorted(r.chunk for r in table) == [" a", " b", " c", " twice"] and all(" " + r.decoded == r.chunk for r in table)
 
 
 def test_decode_is_the_librarys(spark, library):
