@@ -10,9 +10,9 @@ which are segmented by themselves.
    count is found in a histogram of all counts. Each of them is segmented once, and its ids
    decoded once; the table has a proven bound (``TABLE`` chunks of ``LONGEST`` characters) and
    goes to every worker.
-2. Documents are cut again in slices. A slice numbers its distinct chunks, takes the ids of
-   those in the table from there, segments each of the others once, and joins the ids back to
-   its documents by position. What is not in the table is rare, and as a rule in one slice only.
+2. Documents are cut again in slices. A slice takes the ids of its distinct chunks from
+   the table, segments each that is not there once, and joins the ids back to its documents by
+   position. What is not in the table is rare, and as a rule in one slice only.
 
 Moving every slice's chunks to a table of all of them, and every position back, was built
 first: with a vocabulary that grows with the texts it moves more than the texts themselves.
@@ -30,7 +30,6 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +40,9 @@ import public_tokenizers
 
 from .frames import materialize, per_worker, table
 
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 6 << 20
 #: The distinct-chunk table: chunks at most, and characters of one.
-TABLE, LONGEST = 1 << 16, 32
+TABLE, LONGEST = 1 << 17, 32
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 _CHUNK = re.compile(" +[^ ]*")
@@ -144,53 +143,37 @@ def chunk_table(words: DataFrame, model: str) -> DataFrame:
     return words.select("chunk").distinct().mapInArrow(write, "chunk string, ids array<int>, decoded string")
 
 
-class Numbers(dict):
-    """The number of each chunk, given when it is first asked for."""
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = len(self)
-        return len(self) - 1
-
-
 def encode(documents: DataFrame, model: str, most: int = SLICE_CHARS, size: int = TABLE) -> DataFrame:
     """(doc_id, ids, decoded) of every row (doc_id, text): its ids, and the text that they decode to."""
     load(model)  # refused here, not in a task
     rows = chunk_table(frequent(chunk_counts(documents, most), size), model).collect()  # ``size`` rows at most
-    table = {r["chunk"]: (array("i", r["ids"]), r["decoded"]) for r in rows}
+    table = {r["chunk"]: (array("i", r["ids"]).tobytes(), r["decoded"]) for r in rows}
     shared = documents.sparkSession.sparkContext.broadcast(table)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known = load(model), shared.value
         for docs, cut in read_slices(batches, most):
-            numbers = Numbers()
-            places = [np.fromiter(map(numbers.__getitem__, one), np.int64, len(one)) for one in cut]
-            cut = [None] * len(cut)
-            pairs = list(map(known.get, numbers))
-            rare = [c for c, p in zip(numbers, pairs) if p is None]
-            new = iter(zip(*segment(held, rare)))
-            pairs = [next(new) if p is None else p for p in pairs]
-            back = [p[1] for p in pairs]
-            lengths = np.fromiter((len(p[0]) for p in pairs), np.int64, len(pairs))
-            flat = np.fromiter(chain.from_iterable(p[0] for p in pairs), np.int32, int(lengths.sum()))
-            begins = np.cumsum(lengths) - lengths
+            distinct = set().union(*cut)
+            rare = list(distinct.difference(known))
+            ids, back = segment(held, rare)
+            ids_of = {c: known[c][0] for c in distinct if c in known}
+            ids_of.update(zip(rare, (array("i", i).tobytes() for i in ids)))
+            # Most chunks decode to themselves; documents of such chunks decode to their texts.
+            text_of = {c: known[c][1] for c in distinct if c in known and known[c][1] != c[1:]}
+            text_of.update((c, b) for c, b in zip(rare, back) if b != c[1:])
+            del ids, back, rare, distinct
             for begin in range(0, len(docs), 512):
-                some = places[begin : begin + 512]
-                ids = [_joined(flat, begins[p], lengths[p]) for p in some]
-                texts = [" ".join([back[i] for i in p.tolist()]) for p in some]
+                some = cut[begin : begin + 512]
+                held_ids = [np.frombuffer(b"".join(map(ids_of.__getitem__, one)), np.int32) for one in some]
+                texts = [" ".join([text_of.get(c, c[1:]) for c in one]) if text_of else "".join(one)[1:] for one in some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs[begin : begin + 512], pa.int64()), pa.array(ids, schema.field("ids").type), pa.array(texts, pa.string())], schema=schema
+                    [pa.array(docs[begin : begin + 512], pa.int64()), pa.array(held_ids, schema.field("ids").type), pa.array(texts, pa.string())], schema=schema
                 )
 
     return own_texts(documents).mapInArrow(write, "doc_id long, ids array<int>, decoded string")
 
 
-def _joined(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The stretches of ``flat`` with these bounds, one after the other."""
-    ends = np.cumsum(lengths)
-    return flat[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids): whole rows of ids through the library, null as none."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
