@@ -41,7 +41,7 @@ from .plans.hot import HOT_ROWS
 from .plans.payloads import as_text, result_lines, state_payloads, table_payloads
 from .plans.sinks import read_lines, write_lines
 from .sources import events_as_sequence, events_keyed, land_slices, open_slices, table
-from .streaming import BuiltinJob, ProcessorJob, PythonAggregate, log_batches
+from .streaming import BuiltinJob, OrderedFold, ProcessorJob, PythonAggregate, log_batches, mean_aggregate
 from .workdir import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,7 +102,8 @@ def struct_key_group(spark, sf_dir):
 
 @register("pass_through", _with(_KEYED) + "select seq, key, value from keyed")
 def pass_through(spark, sf_dir):
-    return events_keyed(spark, sf_dir)
+    """The records as they come out of a job that keeps their state."""
+    return _live(spark, sf_dir).records.select("seq", "key", "value")
 
 
 @register(
@@ -601,6 +602,13 @@ def _(spark, sf_dir):
     return found[names.REDUCING].join(found[names.AGGREGATING], "key")
 
 
+def _live(spark, sf_dir):
+    """Both outputs of a job that writes them batch by batch."""
+    path, cut = _land(spark, sf_dir)
+    make = _job(BuiltinJob, spark, sf_dir, "rocksdb", operators=(names.VALUE, names.LIST), live=True)
+    return make(_open(spark, sf_dir, path, cut)).run().live_outputs()
+
+
 @register(
     "side_output_split",
     _with(_KEYED)
@@ -609,15 +617,73 @@ union all
 select 'result', key, key || ' ' || cast(sum(value) as bigint) from keyed group by key""",
 )
 def _(spark, sf_dir):
-    path, cut = _land(spark, sf_dir)
-    make = _job(BuiltinJob, spark, sf_dir, "rocksdb", operators=(names.VALUE, names.LIST))
-    out = make(_open(spark, sf_dir, path, cut)).run().outputs()
+    out = _live(spark, sf_dir)
     lines = out.state.filter(F.col("operator") == names.VALUE)
     return out.records.select(
         F.lit("records").alias("output"), "key", F.concat_ws(" ", "seq", "value").alias("payload")
     ).unionByName(lines.select(F.lit("result").alias("output"), "key", F.col("line").alias("payload")))
 
 
+@register("restored_state_scan", _with(_KEYED) + _HISTOGRAM)
+def _(spark, sf_dir):
+    """State of every (key, value) in the store of a restored job, and of nothing else."""
+    make = lambda backend, scale: _job(BuiltinJob, spark, sf_dir, backend, scale, operators=(names.MAP,))
+    job, stream, land_rest = _stopped(spark, sf_dir, make("hashmap", 1))
+    saved = job.savepoint(fresh_dir(spark, "savepoint"))
+    land_rest()
+    return make("rocksdb_incre", 2)(stream, saved).run().flush()[names.MAP]
+
+
+def _late_slices(spark, sf_dir, **more):
+    """A job restored half-way; of each half the later slice comes first."""
+    middle = SLICES // 2
+    path, cut = _land(spark, sf_dir, reversed(range(middle)))
+    stream = _open(spark, sf_dir, path, cut)
+    operators = (names.REDUCING,)
+    job = _job(BuiltinJob, spark, sf_dir, "rocksdb", operators=operators, **more)(stream).run()
+    saved = job.savepoint(fresh_dir(spark, "savepoint"))
+    _land(spark, sf_dir, reversed(range(middle, SLICES)), path)
+    return _job(BuiltinJob, spark, sf_dir, "hashmap", 2, operators=operators, **more)(stream, saved).run().results()[names.REDUCING]
+
+
+@register(
+    "reducing_state_last_stream",
+    _with(_KEYED) + "select key, arg_max(value, seq) as reduced from keyed group by key",
+)
+def _(spark, sf_dir):
+    """The last value of every key, held in the state store."""
+    return _late_slices(spark, sf_dir, reduce="last")
+
+
+@register(
+    "reducing_state_fold_stream",
+    _with(_KEYED)
+    + """select key, coalesce(arg_max(value, seq) filter (where value % 3 = 0),
+  arg_min(value, seq)) as reduced from keyed group by key""",
+)
+def _(spark, sf_dir):
+    """A function of one's own that wants the order: the last multiple of three, or else the first value."""
+    last_third = lambda a, b: F.when(b % 3 == 0, b).otherwise(a)
+    return _late_slices(spark, sf_dir, reduce=OrderedFold(last_third, associative=True))
+
+
+@register(
+    "aggregating_state_mean_restore",
+    _with(_KEYED)
+    + "select key, cast(sum(value) as bigint) // count(*) as aggregated from keyed group by key",
+)
+def _(spark, sf_dir):
+    """An accumulator of two fields in the state store, over a stop and a restore."""
+    mean = mean_aggregate(lambda acc: int_div(acc["total"], acc["n"]))
+    make = lambda backend, scale: _job(
+        BuiltinJob, spark, sf_dir, backend, scale, operators=(names.AGGREGATING,), aggregate=mean
+    )
+    job, stream, land_rest = _stopped(spark, sf_dir, make("hashmap", 1))
+    saved = job.savepoint(fresh_dir(spark, "savepoint"))
+    land_rest()
+    return make("rocksdb", 0.5)(stream, saved).run().results()[names.AGGREGATING]
+
+
 # Checks, each on a sound result and on a damaged one
 
 

@@ -21,15 +21,26 @@ COMBINERS: dict[str, Callable[[str], Column]] = {
     "bit_xor": F.bit_xor,
 }
 
+# Those that ask for the order of values, by name: the first or last that is not null.
+ORDERED: dict[str, Callable[[Column], Column]] = {"first": F.min, "last": F.max}
+
+
+def numbered_value(seq: Column, value: Column) -> Column:
+    """A value with its place, null if it is null: the least of these is the first value."""
+    return F.when(value.isNotNull(), F.struct(seq.cast("bigint").alias("seq"), value.cast("bigint").alias("value")))
+
 
 def combiner(name: str) -> Callable[[str], Column]:
     if name not in COMBINERS:
-        raise ValueError(f"unknown combiner {name!r}; one of {sorted(COMBINERS)}")
+        raise ValueError(f"unknown combiner {name!r}; one of {sorted({*COMBINERS, *ORDERED})}")
     return COMBINERS[name]
 
 
 def reducing_state(records: DataFrame, how: str = "sum") -> DataFrame:
     """(key, reduced) with a built-in combiner, combined before the shuffle."""
+    if how in ORDERED:
+        found = ORDERED[how](numbered_value(F.col("seq"), F.col("value")))["value"]
+        return records.groupBy("key").agg(found.alias("reduced"))
     return records.groupBy("key").agg(combiner(how)("value").alias("reduced"))
 
 

@@ -3,6 +3,10 @@
 ``<path>/state/<operator>``   one table per operator, named by its identity
 ``<path>/meta``               one row, written last; without it there is no savepoint
 
+The rows of the list are written once: the savepoint of a restored job holds those that came
+after the one it goes on from, and ``lists`` names the folders before it, which must be kept. A
+savepoint written with ``whole`` holds all of them.
+
 Columns: value_state (key, total), reducing_state (key, reduced), aggregating_state
 (key, acc: a struct), list_state (key, seq, value), map_state (key, value, n).
 """
@@ -15,10 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-FORMAT_VERSION = 1
+from .. import names
+
+FORMAT_VERSION = 2
+_READABLE = (1, 2)  # 1: without ``lists``, whole
 _META = (
     "format_version int, next_index bigint, records bigint, batch_id bigint, "
-    "operators array<string>, key_type string"
+    "operators array<string>, key_type string, lists array<string>"
 )
 
 
@@ -41,6 +48,7 @@ class Savepoint:
     position: Position
     tables: dict[str, DataFrame]
     key_type: str
+    lists: tuple[str, ...] = ()
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Savepoint:
@@ -50,16 +58,33 @@ class Savepoint:
             raise SavepointError(f"no complete savepoint in {path}") from error
         if meta is None:
             raise SavepointError(f"no complete savepoint in {path}")
-        if meta["format_version"] != FORMAT_VERSION:
+        if meta["format_version"] not in _READABLE:
             raise SavepointError(f"savepoint format {meta['format_version']} is not known")
-        tables = {o: spark.read.parquet(f"{path}/state/{o}") for o in meta["operators"]}
+        lists = tuple(meta["lists"] or ()) if names.LIST in meta["operators"] else ()
+        own = lambda o: [f"{path}/state/{o}"]
+        folders = {o: [*lists, *own(o)] if o == names.LIST else own(o) for o in meta["operators"]}
+        try:
+            tables = {o: spark.read.parquet(*paths) for o, paths in folders.items()}
+        except AnalysisException as error:
+            raise SavepointError(f"{path} goes on from {lists}, and not all of them are there") from error
         position = Position(meta["records"], meta["next_index"], meta["batch_id"])
-        return cls(path, position, tables, meta["key_type"])
+        return cls(path, position, tables, meta["key_type"], lists)
+
+    @property
+    def list_folders(self) -> tuple[str, ...]:
+        """All folders with rows of the list, for a savepoint that goes on from this one."""
+        return (*self.lists, f"{self.path}/state/{names.LIST}") if names.LIST in self.tables else ()
 
     @classmethod
     def write(
-        cls, spark: SparkSession, path: str, tables: dict[str, DataFrame], position: Position
+        cls,
+        spark: SparkSession,
+        path: str,
+        tables: dict[str, DataFrame],
+        position: Position,
+        lists: tuple[str, ...] = (),
     ) -> Savepoint:
+        """``lists``: folders that hold the rows of the list before those of ``tables``."""
         for operator, table in tables.items():
             table.write.parquet(f"{path}/state/{operator}")
         key_type = key_type_of(next(iter(tables.values())).schema)
@@ -70,6 +95,7 @@ class Savepoint:
             position.batch_id,
             sorted(tables),
             key_type,
+            list(lists),
         )
         spark.createDataFrame([row], _META).coalesce(1).write.parquet(f"{path}/meta")
         return cls.open(spark, path)
