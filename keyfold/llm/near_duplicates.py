@@ -48,6 +48,8 @@ BANDS, ROWS = 40, 5
 BATCH = 20  # values of a signature compared at a time
 MISS = 1e-8
 CROWD = 64
+PARTS = 64  # of the rows of one set
+MAP_BITS = 1 << 22  # 65,536 rows of 64 bits
 _HASHES = BANDS * ROWS
 
 
@@ -104,7 +106,9 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(texts: DataFrame, n: int) -> DataFrame:
     """(id, n_shingles, content, bands, signature) of each text (id, text). ``content`` is a hash of the
-    whole set; a text without shingles has no bands."""
+    whole set; a text without shingles has no bands. Bands are made of all bits of the least hashes; the
+    signature keeps the low byte of each: values that differ agree in it once in 256 times, which can
+    only make a pair survive."""
     schema = pa.schema([
         ("id", pa.int64()), ("n_shingles", pa.int64()), ("content", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary()),
     ])
@@ -130,7 +134,7 @@ def signatures(texts: DataFrame, n: int) -> DataFrame:
                 bands: list = [None] * len(sizes)
                 raw: list = [None] * len(sizes)
                 for j, i in enumerate(full):
-                    bands[i], raw[i] = mixed[j].view(np.int64), least[j].tobytes()
+                    bands[i], raw[i] = mixed[j].view(np.int64), least[j].astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [part["id"], pa.array(sizes), pa.array(content.view(np.int64)), pa.array(bands, schema.field("bands").type), pa.array(raw, pa.binary())], schema=schema
                 )
@@ -173,19 +177,34 @@ def compared(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFram
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch[k].to_pylist()), np.uint32).reshape(-1, _HASHES) for k in ("one", "two"))
+                one, two = (np.frombuffer(b"".join(batch[k].to_pylist()), np.uint8).reshape(-1, _HASHES) for k in ("one", "two"))
                 yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *map(pa.array, compare(one, two, similarity))], schema=schema)
 
-    one = signed.select(F.col("id").alias("a"), F.col("signature").alias("one"), F.col("n_shingles").alias("n_a"))
-    two = signed.select(F.col("id").alias("b"), F.col("signature").alias("two"), F.col("n_shingles").alias("n_b"))
+    own = materialize(among(signed.select("id", "signature"), ends(pairs)), "signatures")
+    one = own.select(F.col("id").alias("a"), F.col("signature").alias("one"))
+    two = own.select(F.col("id").alias("b"), F.col("signature").alias("two"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two")
     return both.mapInArrow(check, "a long, b long, survive boolean, near boolean")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """The ids that stand in pairs, as often as they do."""
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """All rows whose id is one of ``ids``, and few others: by a map of ``MAP_BITS`` bits, which is
+    all that goes to the tasks. What is not wanted is left out before it is shuffled."""
+    place = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    words = ids.select(place.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("__word")).agg(F.bit_or(bit(F.col("at"))).alias("__bits"))
+    held = rows.join(F.broadcast(materialize(words, "map")), F.floor(place / 64) == F.col("__word"))
+    return held.where(F.col("__bits").bitwiseAND(bit(place)) != 0).drop("__word", "__bits")
+
+
 def _paired(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, one, two): pairs with both texts, packed."""
-    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "id")
-    small = materialize(packed(texts.join(wanted, "id", "left_semi")), "packed")
+    small = materialize(packed(among(texts, ends(pairs))), "packed")
     one = small.select(F.col("id").alias("a"), F.col("z").alias("one"))
     two = small.select(F.col("id").alias("b"), F.col("z").alias("two"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "one", "two")
@@ -193,12 +212,14 @@ def _paired(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 _EXACT = pa.schema([
     ("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("some", pa.list_(pa.int64())), ("all", pa.list_(pa.int64())),
+    ("size", pa.int64()), ("lacked", pa.int64()), ("added", pa.int64()),
 ])
 
 
 def exact(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) compared on the full sets: ``linked``, and the differences of a from b:
-    ``some``, of which a free node must share one to link to a, and ``all``, if a is free."""
+    ``some``, of which a free node must share one to link to a, and ``all``; the size
+    of b, and how much a lacks of it and adds to it."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -208,7 +229,7 @@ def exact(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame
 
         last, theirs = None, np.empty(0, np.uint64)
         for batch in batches:
-            out: list[list] = [[] for _ in range(3)]
+            out: list[list] = [[] for _ in range(6)]
             every, needs = [], []
             names = batch["b"].to_pylist()
             for i, b in enumerate(names):
@@ -223,7 +244,9 @@ def exact(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame
                 every.append(both)
                 needs.append((100 * len(lacked) + percent * len(added)) // (100 + percent))
                 out[0].append(linked)
-                out[2].append(None if linked else both)
+                out[2].append(both)
+                for column, count in zip(out[3:], (len(theirs), len(lacked), len(added))):
+                    column.append(count)
             # Of the differences that are enough, those that fewest neighbours in this batch share.
             for _, star in itertools.groupby(range(len(names)), names.__getitem__):
                 star = list(star)
@@ -233,24 +256,43 @@ def exact(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame
             columns = [pa.array(c, f.type) for c, f in zip(out, list(_EXACT)[2:])]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *columns], schema=_EXACT)
 
-    return _paired(pairs, texts).mapInArrow(check, "a long, b long, linked boolean, some array<long>, all array<long>")
+    return _paired(pairs, texts).mapInArrow(check, "a long, b long, linked boolean, some array<long>, all array<long>, size long, lacked long, added long")
 
 
-def related(found: DataFrame, company: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components that share differences from one elected node.
+def related(found: DataFrame, company: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share differences from one elected node, and that may be
+    at the threshold by their counts: they have at most all of it but what one of them lacks in
+    common, and of what they add the smaller part.
 
     A node's first star is that of the elected node with most company that it is near to.
     Two nodes with the same first star meet there, and in no other star that both are in.
     """
     name = lambda k: labels.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
     first = found.join(company.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.max(F.struct("company", "b")).alias("m"))
-    known = materialize(found.join(first.select("a", F.col("m.b").alias("star")), "a").select("a", "b", "linked", "some", "all", "star"), "stars")
-    free = known.where("not linked").select(F.col("a").alias("x"), "b", F.col("star").alias("sx"), F.explode("all").alias("d"))
-    each = known.select(F.col("a").alias("y"), "b", F.col("star").alias("sy"), F.explode("some").alias("d"))
-    here = free.join(each, ["b", "d"]).where("x <> y and (sx <> sy or sx = b)").select("x", "y").distinct()
+    known = materialize(found.join(first.select("a", F.col("m.b").alias("star")), "a"), "stars")
+    rank = F.struct(F.size("some"), "a")
+    free = known.where("not linked").select(F.col("a").alias("x"), "b", F.col("star").alias("sx"), rank.alias("rx"), F.struct("size", "lacked", "added").alias("wx"), F.explode("all").alias("d"))
+    # Two free nodes meet once: by the differences of the one that has fewer to be looked up.
+    ry = F.when(~F.col("linked"), rank).alias("ry")
+    each = known.select(F.col("a").alias("y"), "b", F.col("star").alias("sy"), ry, F.struct("lacked", "added").alias("wy"), F.explode("some").alias("d"))
+    common = F.expr("wx.size - greatest(wx.lacked, wy.lacked) + least(wx.added, wy.added)")
+    both = F.expr("2 * wx.size - wx.lacked + wx.added - wy.lacked + wy.added")
+    met = F.expr("x <> y and (sx <> sy or sx = b) and (ry is null or ry < rx)")
+    here = free.join(each, ["b", "d"]).where(met & (100 * common >= percent * (both - common))).groupBy("x", "y").agg(F.min("b").alias("star"))
     pairs = here.join(name("x"), "x", "left").join(name("y"), "y", "left")
     apart = F.coalesce("cx", "x") != F.coalesce("cy", "y")
-    return pairs.where(apart).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    return pairs.where(apart).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "star")
+
+
+def exact_by_star(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b, star) that link. Both sets are known in full: the star's, without what
+    is lacked and with what is added; what both lack or both add they have in common."""
+    names = ("lacked", "added", "all")
+    one, two = (found.select(F.col("a").alias(k), F.col("b").alias("star"), "size", F.struct(*names).alias(f"of_{k}")) for k in "ab")
+    both = pairs.join(one, ["a", "star"]).join(two.drop("size"), ["b", "star"])
+    common = F.expr("size - of_a.lacked - of_b.lacked + size(array_intersect(of_a.all, of_b.all))")
+    total = F.expr("2 * size - of_a.lacked + of_a.added - of_b.lacked + of_b.added")
+    return both.where(100 * common >= percent * (total - common)).select("a", "b")
 
 
 def far_pairs(members: DataFrame, labels: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
@@ -273,14 +315,25 @@ def far_pairs(members: DataFrame, labels: DataFrame, stars: DataFrame, percent:
     return pairs(few).unionByName(pairs(many))
 
 
+def nodes(sets: DataFrame) -> DataFrame:
+    """(id, n_shingles, node): the smallest id with the same set, by parts, as one set may have
+    any number of rows; a text without shingles is a node of its own."""
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")
+    full = sets.where("n_shingles > 0").select("id", "content", "n_shingles", part)
+    parts = full.groupBy("content", "n_shingles", "part").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("content", "n_shingles").agg(F.min("least").alias("node"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
+    several = parts.join(whole, ["content", "n_shingles"]).select("content", "n_shingles", "part", "node")
+    rows = sets.select("id", "n_shingles", "content", part)
+    return rows.join(several, ["content", "n_shingles", "part"], "left").select("id", "n_shingles", F.coalesce("node", "id").alias("node"))
+
+
 def linked_components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(id, n_shingles, component) of every text (id, text); ids are unique and not null."""
     similarity = percent / 100
     signed = materialize(signatures(texts, n), "signatures")
-    several = signed.where("n_shingles > 0").groupBy("content", "n_shingles").agg(F.min("id").alias("node"))
-    node = materialize(signed.join(several, ["content", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("node", "id").alias("node")), "nodes")
+    node = materialize(nodes(signed.select("id", "n_shingles", "content")), "nodes")
     own = node.where("id = node and n_shingles > 0").select("id")
-    signed = materialize(signed.join(own, "id", "left_semi"), "sets")
+    signed = materialize(signed.join(own, "id", "left_semi").select("id", "n_shingles", "bands", "signature"), "sets")
     spread = signed.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(spread.join(shared, "bucket"), "members")
@@ -292,10 +345,13 @@ def linked_components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     found = materialize(exact(checked.where("near"), texts, n, percent), "exact")
     labels = components(found.where("linked"))
     status = checked.join(found.where("linked").select("a", "b", "linked"), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    more = materialize(related(found, company, labels).unionByName(far_pairs(members, labels, status, percent)).distinct(), "more")
-    again = materialize(compared(more, signed, similarity).where("survive"), "compared")
+    far = far_pairs(members, labels, status, percent).withColumn("star", F.lit(None).cast("long"))
+    more = materialize(related(found, company, labels, percent).unionByName(far).groupBy("a", "b").agg(F.min("star").alias("star")), "more")
+    again = materialize(compared(more, signed, similarity).where("survive").select("a", "b"), "compared")
     if again.take(1):
-        late = exact(again, texts, n, percent).where("linked").select("a", "b")
+        again = materialize(again.join(more, ["a", "b"]), "again")
+        late = exact(again.where("star is null").select("a", "b"), texts, n, percent).where("linked").select("a", "b")
+        late = late.unionByName(exact_by_star(again.where("star is not null"), found, percent))
         labels = components(found.where("linked").select("a", "b").unionByName(late))
     named = labels.select(F.col("id").alias("node"), "component")
     return node.join(named, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("component"))
