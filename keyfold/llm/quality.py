@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .frames import SPACES, byte_set, flat_bytes, flat_words, materialize, slices, table
 from .linear import fit_dense, platt, sigmoid
-from .toxicity import bounded, held_out, labels_of
+from .toxicity import bounded, held_out, in_order, labels_of
 
 FIT_ROWS = 20_000
 ROUNDS = 5
@@ -166,23 +166,25 @@ class Views:
         if not self.ready:
             return np.full((len(views[0]), 3), 0.5)
         logits = np.stack([a * (x @ w[:-1] + w[-1]) + b for (a, b), x, w in zip(self.calibration, views, self.models)], 1)
-        return sigmoid(np.column_stack([logits, np.clip(logits, -12, 12) @ self.both[:-1] + self.both[-1]]))
+        # Nine places: what lies behind them depends on the other rows of a batch.
+        return np.round(sigmoid(np.column_stack([logits, np.clip(logits, -12, 12) @ self.both[:-1] + self.both[-1]])), 9)
 
 
 def _scale(rows: DataFrame, column: str, n: int) -> np.ndarray:
-    """Mean and deviation of each number over all rows."""
+    """Mean and deviation of each number over all rows, to nine digits, whatever order they are added in."""
     parts = [f(F.col(column)[i].cast("double")) for f in (F.avg, F.stddev_pop) for i in range(n)]
-    return np.array([x or 0.0 for x in rows.agg(*(p.alias(f"c{i}") for i, p in enumerate(parts))).collect()[0]]).reshape(2, n)
+    return np.array([float(f"{x or 0.0:.9g}") for x in rows.agg(*(p.alias(f"c{i}") for i, p in enumerate(parts))).collect()[0]]).reshape(2, n)
 
 
 def fitted(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, Views]:
     """The numbers of every row, and the models. Labels of the held-out fold (as in
     ``toxicity``) are not used."""
     rows = materialize(described(documents), "described")
-    known = F.broadcast(materialize(bounded(labels_of(labels, "quality"), fit_rows, 3), "labels"))  # bounded by fit_rows
+    known = F.broadcast(materialize(bounded(labels_of(labels, "quality"), fit_rows, 3).drop("draw"), "labels"))  # bounded by fit_rows
     views = Views(_scale(rows, "content", len(CONTENT)), _scale(rows, "page", len(PAGE)))
-    fit = rows.join(known, "doc_id").toPandas().sort_values("doc_id", kind="stable")
-    pool = bounded(rows.where(~held_out()).join(known, "doc_id", "left_anti"), fit_rows, 4).toPandas().sort_values("doc_id", kind="stable")
+    # An id may have any number of rows, so these are bounded as well.
+    fit = in_order(bounded(rows.join(known, "doc_id"), fit_rows, 5))
+    pool = in_order(bounded(rows.where(~held_out()).join(known, "doc_id", "left_anti"), fit_rows, 4))
     if len(fit):
         numbers = [views.numbers(_matrix(x["content"]), _matrix(x["page"]), x["source"].to_numpy(), x["lang"].to_numpy()) if len(x) else None for x in (fit, pool)]
         none = tuple(x[:0] for x in numbers[0])

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .frames import SIGNS, byte_set, flat_bytes, flat_words, materialize, slices, table
 from .linear import fit_sparse, sigmoid
 
+BINS = 4096
 FIT_ROWS = 20_000  # labelled rows for the lexicons, and rows for the classifier, at most
 FEATURES = 4096  # of the classifier
 LENGTHS = range(3, 9)
@@ -263,11 +265,24 @@ class Scorer(NamedTuple):
 
 
 def bounded(rows: DataFrame, most: int, seed: int) -> DataFrame:
-    """All rows, or by a hash of the id about ``most`` of them, never more than by chance."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    """All rows, or ``most`` of them, never more, with ``draw``, a hash of the whole row by which
+    they are chosen. Whole bins of the hash are taken, and the rest from the next bin in order, so
+    that the draw does not depend on how the rows lie; rows of one draw are equal."""
+    drawn = rows.withColumn("draw", F.xxhash64(*rows.columns, F.lit(seed)))
+    bin_of = F.pmod(F.col("draw"), F.lit(BINS))
+    counts = drawn.groupBy(bin_of.alias("bin")).count().orderBy("bin").collect()  # BINS rows at most
+    taken = 0
+    for row in counts:
+        if taken + row["count"] > most:
+            rest = drawn.where(bin_of == row["bin"]).orderBy("draw").limit(most - taken)
+            return drawn.where(bin_of < row["bin"]).unionByName(rest)
+        taken += row["count"]
+    return drawn
+
+
+def in_order(rows: DataFrame) -> pd.DataFrame:
+    """Drawn rows on the driver, in an order of their own: a fit sums floats, and the same sums each time."""
+    return rows.toPandas().sort_values("draw", kind="stable", ignore_index=True).drop(columns="draw")
 
 
 def labels_of(labels: DataFrame, column: str) -> DataFrame:
@@ -280,7 +295,7 @@ def scored(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     """Every row with doc_id, held_out and score, and the label model."""
     spark = documents.sparkSession
     # At most about fit_rows pairs of numbers.
-    some = F.broadcast(materialize(bounded(labels_of(labels, "toxic"), fit_rows, 1), "labels"))
+    some = F.broadcast(materialize(bounded(labels_of(labels, "toxic"), fit_rows, 1).drop("draw"), "labels"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = chosen_features(texts.join(some, "doc_id").select("text", F.col("label").cast("long").alias("label")))
     rows = materialize(featured(documents, features), "features")
@@ -293,7 +308,7 @@ def scored(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     known = np.array([[sure.get((p, y), 0) for p, _ in counts] for y in (0, 1)], float).reshape(2, -1)
     model = LabelModel(votes, np.array([n for _, n in counts], np.int64), len(LENGTHS) + 1, known)
     posterior = {p: q for (p, _), q in zip(counts, model.posterior.tolist())}
-    fit = bounded(learning, fit_rows, 2).select("features", "votes").toPandas()
+    fit = in_order(bounded(learning.select("doc_id", "features", "votes"), fit_rows, 2).select("features", "votes", "draw"))
     sizes = fit["features"].map(len).to_numpy(np.int64) if len(fit) else np.empty(0, np.int64)
     columns = np.concatenate([*fit["features"], np.empty(0, np.int64)]).astype(np.int64) if len(fit) else np.empty(0, np.int64)
     y = fit["votes"].map(posterior).to_numpy(float) if len(fit) else np.empty(0)
@@ -305,8 +320,9 @@ def scored(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         for batch in batches:
             lists = batch["features"]
             bounds = lists.offsets.to_numpy()
-            sums = np.append(0, np.cumsum(w[:-1][lists.values.to_numpy()]))
-            z = sums[bounds[1:]] - sums[bounds[:-1]] + w[-1]
+            row = np.repeat(np.arange(len(lists)), np.diff(bounds))
+            values = lists.values.to_numpy()[bounds[0] : bounds[-1]] if len(lists) else lists.values.to_numpy()
+            z = np.bincount(row, w[:-1][values], len(lists)) + w[-1]  # a row's sum does not depend on its batch
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(sigmoid(z))], ["doc_id", "held_out", "score"])
 
     return rows.select("doc_id", "held_out", "features").mapInArrow(score, "doc_id long, held_out boolean, score double"), model

@@ -45,3 +45,12 @@ def test_hostile_rows(spark):
     none = q.scored(docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5} and not any(r.rejected for r in none)
     assert q.scored(docs.limit(0), labels).count() == 0
+
+
+def test_fits_are_bounded_and_the_same_each_time(spark):
+    text = lambda i: ("A plain line of words. " if i % 2 else "%%% ### $$$ && ") * (1 + i % 5)
+    rows = [(5, text(i), "s", "en", i) for i in range(900)] + [(None, text(i), "s", "en", i) for i in range(300)] + [(i, text(i), "s", "en", i) for i in range(10, 70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10, 70)] + [(5, 1)], "doc_id long, quality int")
+    runs = [sorted(((r.doc_id, r.score) for r in q.scored(docs.repartition(n), labels, 200).collect()), key=repr) for n in (2, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)

@@ -1,6 +1,7 @@
 """Toxicity: held-out accuracy, the label model, hostile rows."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from keyfold.llm import toxicity as t
 
@@ -41,3 +42,24 @@ def test_hostile_rows(spark):
     none, _ = t.scored(docs, labels.limit(0))
     assert len({r.score for r in none.collect()}) == 1
     assert t.scored(docs.limit(0), labels)[0].count() == 0
+
+
+def test_the_draw_is_bounded_whatever_the_ids(spark):
+    one_id = spark.createDataFrame([(7, f"text {i}") for i in range(3000)] + [(i, "x") for i in range(50)], "doc_id long, text string")
+    no_id = one_id.withColumn("doc_id", F.lit(None).cast("long"))
+    equal = spark.createDataFrame([(7, "same")] * 3000, "doc_id long, text string")
+    for rows in (one_id, no_id, equal):
+        drawn = t.bounded(rows.repartition(3), 100, 2)
+        assert drawn.count() == 100
+        again = t.bounded(rows.repartition(7, "text"), 100, 2)
+        assert t.in_order(drawn).equals(t.in_order(again))
+    assert t.bounded(one_id, 5000, 2).count() == 3050
+
+
+def test_equal_scores_over_runs_and_partitions(spark):
+    rows = [(7 if i % 2 else None, f"{'vequx vequy' if i % 3 == 0 else 'calm words'} n{i % 40} m{i % 7}") for i in range(600)]
+    rows += [(i, f"{'vequx vequy' if i % 3 == 0 else 'calm words'} k{i}") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100, 160)] + [(7, 1)], "doc_id long, toxic int")
+    runs = [sorted(((r.doc_id, r.score) for r in t.scored(docs.repartition(n), labels, 120)[0].collect()), key=repr) for n in (2, 5)]
+    assert runs[0] == runs[1]
