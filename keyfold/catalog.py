@@ -49,6 +49,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 KEYS = 100  # keys of the numbered sequence
 SLICES = 4  # slices a table is landed in for the streams; they stop after half of them
 SPLIT_ROWS = 64  # rows per group in the queries that split every key they can
+SHARDS = 16  # state groups a hot key may be spread over in the Python job
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -316,18 +317,31 @@ def _(spark, sf_dir):
     return parts.select("key", "part", histogram_text(F.col("entries")).alias("hist"))
 
 
+def route_sql(hot_rows=HOT_ROWS):
+    return (
+        _with(_KEYED)
+        + f"""select key, (count(*) + {hot_rows} - 1) // {hot_rows} as lanes, count(*) as n,
+  1::bigint as partitions
+from keyed group by key"""
+    )
+
+
 @register(
     "keyed_route",
-    _with(_KEYED)
-    + "select key, 0::bigint as lane, count(*) as n, 1::bigint as partitions from keyed group by key",
+    route_sql(),
 )
-def _(spark, sf_dir):
-    """Every (key, lane) is in one partition. The groupings reuse the route."""
-    placed = route(events_keyed(spark, sf_dir)).withColumn("at", F.spark_partition_id())
-    per_place = placed.groupBy("key", "lane", "at").agg(F.count(F.lit(1)).alias("n"))
-    return per_place.groupBy("key", "lane").agg(
+def keyed_route(spark, sf_dir, hot_rows=HOT_ROWS):
+    """Every (key, lane) is in one partition, at most; a key has a lane per ``hot_rows`` rows."""
+    placed = route(events_keyed(spark, sf_dir), hot_rows=hot_rows)
+    per_place = placed.withColumn("at", F.spark_partition_id()).groupBy("key", "lane", "at").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    per_lane = per_place.groupBy("key", "lane").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("partitions")
     )
+    return per_lane.groupBy("key").agg(
+        (F.max("lane") + 1).alias("lanes"), F.sum("n").alias("n"), F.max("partitions").alias("partitions")
+    )
 
 
 # All five at once
@@ -529,9 +543,9 @@ def _(spark, sf_dir):
 
 @register("state_variable_scan", _with(_KEYED) + "select key, seq, value from keyed")
 def _(spark, sf_dir):
-    """Elements of a list state variable, read from the checkpoint."""
+    """Elements of a list state variable, read from the checkpoint; a hot key is in many groups."""
     path, cut = _land(spark, sf_dir)
-    make = _job(ProcessorJob, spark, sf_dir, "rocksdb", operators=(names.LIST,))
+    make = _job(ProcessorJob, spark, sf_dir, "rocksdb", operators=(names.LIST,), shards=SHARDS)
     return make(_open(spark, sf_dir, path, cut)).run().flush()[names.LIST]
 
 
@@ -590,11 +604,11 @@ def _(spark, sf_dir):
     mean = PythonAggregate(
         schema="total bigint, n bigint",
         create=lambda: (0, 0),
-        add=lambda acc, values: (acc[0] + int(values.sum()), acc[1] + len(values)),
+        add=lambda acc, values: (acc[0] + sum(values.tolist()), acc[1] + len(values)),
         merge=lambda a, b: (a[0] + b[0], a[1] + b[1]),
         finish=lambda acc: int_div(acc["total"], acc["n"]),
     )
-    more = dict(operators=(names.REDUCING, names.AGGREGATING), reduce=max, aggregate=mean)
+    more = dict(operators=(names.REDUCING, names.AGGREGATING), reduce=max, aggregate=mean, shards=SHARDS)
     job, stream, land_rest = _stopped(spark, sf_dir, _job(ProcessorJob, spark, sf_dir, "rocksdb", **more))
     saved = job.savepoint(fresh_dir(spark, "savepoint"))
     land_rest()
@@ -602,6 +616,37 @@ def _(spark, sf_dir):
     return found[names.REDUCING].join(found[names.AGGREGATING], "key")
 
 
+@register(
+    "processor_nulls_restore",
+    _with(_KEYED, _NULLED)
+    + """select operator, key, 0::bigint as part, key || ' ' || total as line
+from (select key, cast(sum(value) as bigint) as total from nulled group by key),
+  (values ('value_state'), ('reducing_state'), ('aggregating_state')) o(operator)
+union all
+select 'list_state', key, part,
+  key || ' ' || string_agg(coalesce(cast(value as varchar), 'null'), ' ' order by seq)
+from (select *, (row_number() over (partition by key order by seq) - 1) // """
+    + f"{HOT_ROWS} as part from nulled"
+    + """) group by key, part
+union all
+select 'map_state', key, 0, key || ' ' || string_agg(
+  coalesce(cast(value as varchar), 'null') || ',' || n, ' ' order by value nulls first)
+from (select key, value, count(*) as n from nulled group by key, value) group by key""",
+)
+def _(spark, sf_dir):
+    """Null values in the Python job, over a stop and a restore."""
+    records = events_keyed(spark, sf_dir).withColumn("value", F.expr("nullif(value % 7, 3)"))
+    path = fresh_dir(spark, "slices")
+    half = SLICES // 2
+    cut = land_slices(records, path, SLICES, only=range(half))
+    stream = open_slices(spark, path, records.schema, cut.files_per_slice)
+    job = _job(ProcessorJob, spark, sf_dir, "rocksdb", shards=SHARDS)(stream).run()
+    saved = job.savepoint(fresh_dir(spark, "savepoint"))
+    land_slices(records, path, SLICES, only=range(half, SLICES))
+    second = _job(ProcessorJob, spark, sf_dir, "rocksdb_incre", scale=0.5, shards=SHARDS)
+    return result_lines(table_payloads(second(stream, saved).run().results()))
+
+
 def _live(spark, sf_dir):
     """Both outputs of a job that writes them batch by batch."""
     path, cut = _land(spark, sf_dir)
@@ -781,9 +826,23 @@ def _(spark, sf_dir):
     return checks.faults(checks.check_totals(damaged, total, KEYS))
 
 
-_LISTS = """lists as (
-  select key, 0::bigint as part, string_agg(cast(value as varchar), ' ' order by seq) as items
-  from indexed group by key)"""
+def _cut_views(per_row):
+    """Lists and maps of the sequence in parts of ``per_row``, found and expected."""
+    return f"""lists as (
+  select key, part, string_agg(cast(value as varchar), ' ' order by seq) as items
+  from (select *, (row_number() over (partition by key order by seq) - 1) // {per_row} as part
+        from indexed)
+  group by key, part),
+hists as (
+  select key, part, string_agg(value || ',' || n, ' ' order by value) as hist
+  from (select *, (row_number() over (partition by key order by value) - 1) // {per_row} as part
+        from (select key, value, count(*) as n from indexed group by key, value))
+  group by key, part),
+parts as (
+  select key, part, range(part * {per_row}, least(m, (part + 1) * {per_row})) as items
+  from (select *, unnest(range((m + {per_row} - 1) // {per_row})) as part from counts where m > 0))"""
+
+
 # The changed list comes in reverse order.
 _LIST_DAMAGE = _damage_sql(
     "lists",
@@ -791,124 +850,129 @@ _LIST_DAMAGE = _damage_sql(
     {"items": "array_to_string(list_reverse(string_split(items, ' ')), ' ')"},
 )
 _EXPECTED_LIST = """expected as (
-  select key, 0::bigint as part, array_to_string(range(m), ' ') as expected
-  from counts where m > 0)"""
+  select key, part, array_to_string(items, ' ') as expected from parts)"""
 
 
 def _as_list_text(compared):
     return compared.withColumns({c: list_text(F.col(c)) for c in ("found", "expected")})
 
 
-@register(
-    "check_list",
-    _with(_INDEXED, _LISTS, _COUNTS, _EXPECTED_LIST)
-    + _compare_sql("lists", "items", on="key, part"),
-)
-def _(spark, sf_dir):
+def check_list_sql(per_row=HOT_ROWS):
+    views = _with(_INDEXED, _COUNTS, _cut_views(per_row), _EXPECTED_LIST)
+    return views + _compare_sql("lists", "items", on="key, part")
+
+
+def check_list_damaged_sql(per_row=HOT_ROWS):
+    views = _with(_INDEXED, _COUNTS, _cut_views(per_row), _LIST_DAMAGE, _EXPECTED_LIST)
+    compared = _compare_sql("damaged", "items", on="key, part")
+    return f"{views}select * from ({compared}) where status <> 'ok'"
+
+
+@register("check_list", check_list_sql())
+def check_list(spark, sf_dir, per_row=HOT_ROWS):
     records, total = _indexed(spark, sf_dir)
-    return _as_list_text(checks.check_list(list_parts(records), total, KEYS))
+    return _as_list_text(checks.check_list(list_parts(records, per_row), total, KEYS, per_row))
 
 
-@register(
-    "check_list_damaged",
-    _with(_INDEXED, _LISTS, _LIST_DAMAGE, _COUNTS, _EXPECTED_LIST)
-    + f"select * from ({_compare_sql('damaged', 'items', on='key, part')}) where status <> 'ok'",
-)
-def _(spark, sf_dir):
+@register("check_list_damaged", check_list_damaged_sql())
+def check_list_damaged(spark, sf_dir, per_row=HOT_ROWS):
     records, total = _indexed(spark, sf_dir)
-    damaged = _damage(list_parts(records), {"items": F.reverse("items")})
-    return _as_list_text(checks.faults(checks.check_list(damaged, total, KEYS)))
+    damaged = _damage(list_parts(records, per_row), {"items": F.reverse("items")})
+    return _as_list_text(checks.faults(checks.check_list(damaged, total, KEYS, per_row)))
 
 
-_HISTS = """hists as (
-  select key, 0::bigint as part, string_agg(value || ',' || n, ' ' order by value) as hist
-  from (select key, value, count(*) as n from indexed group by key, value) group by key)"""
 # In the changed map every value was counted twice.
 _HIST_DAMAGE = _damage_sql("hists", ["part", "hist"], {"hist": "replace(hist || ' ', ',1 ', ',2 ')"})
 _EXPECTED_HIST = """expected as (
-  select key, 0::bigint as part,
-    array_to_string(list_transform(range(m), lambda v: v || ',1'), ' ') as expected
-  from counts where m > 0)"""
+  select key, part, array_to_string(list_transform(items, lambda v: v || ',1'), ' ') as expected
+  from parts)"""
 
 
 def _as_histogram_text(compared):
     return compared.withColumns({c: histogram_text(F.col(c)) for c in ("found", "expected")})
 
 
-@register(
-    "check_map",
-    _with(_INDEXED, _HISTS, _COUNTS, _EXPECTED_HIST)
-    + _compare_sql("hists", "hist", on="key, part"),
-)
-def _(spark, sf_dir):
+def check_map_sql(per_row=HOT_ROWS):
+    views = _with(_INDEXED, _COUNTS, _cut_views(per_row), _EXPECTED_HIST)
+    return views + _compare_sql("hists", "hist", on="key, part")
+
+
+def check_map_damaged_sql(per_row=HOT_ROWS):
+    views = _with(_INDEXED, _COUNTS, _cut_views(per_row), _HIST_DAMAGE, _EXPECTED_HIST)
+    compared = _compare_sql("damaged", "hist", on="key, part")
+    return f"""{views}select key, part, trim(found) as found, expected, status
+from ({compared}) where status <> 'ok'"""
+
+
+@register("check_map", check_map_sql())
+def check_map(spark, sf_dir, per_row=HOT_ROWS):
     records, total = _indexed(spark, sf_dir)
-    return _as_histogram_text(checks.check_histogram(histogram_parts(records), total, KEYS))
+    compared = checks.check_histogram(histogram_parts(records, per_row), total, KEYS, per_row)
+    return _as_histogram_text(compared)
 
 
-@register(
-    "check_map_damaged",
-    _with(_INDEXED, _HISTS, _HIST_DAMAGE, _COUNTS, _EXPECTED_HIST)
-    + "select key, part, trim(found) as found, expected, status from ("
-    + _compare_sql("damaged", "hist", on="key, part")
-    + ") where status <> 'ok'",
-)
-def _(spark, sf_dir):
+@register("check_map_damaged", check_map_damaged_sql())
+def check_map_damaged(spark, sf_dir, per_row=HOT_ROWS):
     records, total = _indexed(spark, sf_dir)
     twice = F.transform(
         "entries", lambda e: F.struct(e["value"].alias("value"), (e["n"] * 2).alias("n"))
     )
-    damaged = _damage(histogram_parts(records), {"entries": twice})
-    return _as_histogram_text(checks.faults(checks.check_histogram(damaged, total, KEYS)))
+    damaged = _damage(histogram_parts(records, per_row), {"entries": twice})
+    return _as_histogram_text(checks.faults(checks.check_histogram(damaged, total, KEYS, per_row)))
 
 
 _REPORT = """found as (
-  select 'value_state' as operator, key, 0::bigint as part, cast(total as varchar) as found from {0}
-  union all select 'reducing_state', key, 0, cast(total as varchar) from {0}
-  union all select 'aggregating_state', key, 0, cast(total as varchar) from {0}
+  select 'value_state' as operator, key, 0::bigint as part, cast(total as varchar) as found
+  from {0} where total is not null
+  union all select 'reducing_state', key, 0, cast(total as varchar) from {0} where total is not null
+  union all select 'aggregating_state', key, 0, cast(total as varchar) from {0} where total is not null
   union all select 'list_state', key, part, items from {1}
   union all select 'map_state', key, part, hist from {2}),
 sums as (select key, cast(m * (m - 1) // 2 as varchar) as expected from counts),
 expected as (
   select operator, key, 0::bigint as part, expected
   from sums, (values ('value_state'), ('reducing_state'), ('aggregating_state')) o(operator)
-  union all select 'list_state', key, 0, array_to_string(range(m), ' ') from counts where m > 0
-  union all select 'map_state', key, 0,
-    array_to_string(list_transform(range(m), lambda v: v || ',1'), ' ') from counts where m > 0)"""
+  union all select 'list_state', key, part, array_to_string(items, ' ') from parts
+  union all select 'map_state', key, part,
+    array_to_string(list_transform(items, lambda v: v || ',1'), ' ') from parts)"""
+# Scalars stand in the first part.
+_WIDE = """wide as (
+  select key, part, case when part = 0 then total end as total, items, hist
+  from totals join lists using (key) join hists using (key, part))"""
 
 
-@register(
-    "check_report",
-    _with(_INDEXED, _TOTALS, _LISTS, _HISTS, _COUNTS, _REPORT.format("totals", "lists", "hists"))
-    + _compare_sql("found", "found", on="operator, key, part"),
-)
-def _(spark, sf_dir):
-    records, total = _indexed(spark, sf_dir)
-    return checks.check_report(state_payloads(keyed_state(records)), total, KEYS)
+def check_report_sql(per_row=HOT_ROWS):
+    views = _with(_INDEXED, _TOTALS, _COUNTS, _cut_views(per_row), _REPORT.format("totals", "lists", "hists"))
+    return views + _compare_sql("found", "found", on="operator, key, part")
 
 
-@register(
-    "check_report_damaged",
-    _with(
+def check_report_damaged_sql(per_row=HOT_ROWS):
+    views = _with(
         _INDEXED,
         _TOTALS,
-        _LISTS,
-        _HISTS,
         _COUNTS,
-        f"""wide as (
-  select key, total, items, hist from totals join lists using (key) join hists using (key))""",
-        _damage_sql("wide", ["total", "items", "hist"], {"total": "total - 1"}),
-        "damaged_parts as (select *, 0::bigint as part from damaged)",
-        _REPORT.format("damaged_parts", "damaged_parts", "damaged_parts"),
+        _cut_views(per_row),
+        _WIDE,
+        _damage_sql("wide", ["part", "total", "items", "hist"], {"total": "total - 1"}),
+        _REPORT.format("damaged", "damaged", "damaged"),
     )
-    + "select * from ("
-    + _compare_sql("found", "found", on="operator, key, part")
-    + ") where status <> 'ok'",
-)
-def _(spark, sf_dir):
+    compared = _compare_sql("found", "found", on="operator, key, part")
+    return f"{views}select * from ({compared}) where status <> 'ok'"
+
+
+@register("check_report", check_report_sql())
+def check_report(spark, sf_dir, per_row=HOT_ROWS):
+    records, total = _indexed(spark, sf_dir)
+    payloads = state_payloads(keyed_state(records, hot_rows=per_row))
+    return checks.check_report(payloads, total, KEYS, per_row=per_row)
+
+
+@register("check_report_damaged", check_report_damaged_sql())
+def check_report_damaged(spark, sf_dir, per_row=HOT_ROWS):
     records, total = _indexed(spark, sf_dir)
     less = {c: F.col(c) - 1 for c in (names.VALUE, names.REDUCING, names.AGGREGATING)}
-    damaged = _damage(keyed_state(records), less)
-    return checks.faults(checks.check_report(state_payloads(damaged), total, KEYS))
+    payloads = state_payloads(_damage(keyed_state(records, hot_rows=per_row), less))
+    return checks.faults(checks.check_report(payloads, total, KEYS, per_row=per_row))
 
 
 @register(

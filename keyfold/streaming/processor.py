@@ -7,9 +7,17 @@ state call crosses to the JVM, and the map needs two per distinct value, so leav
 ``BuiltinJob`` what needs no function of the user's: choose ``operators``.
 
 State is grouped by (key, shard). With more than one shard a hot key spreads over
-that many groups, and its partial states are merged when read. For that the reduce
-and aggregate functions must be associative and commutative. They must be so in any
-case here, as rows of a micro-batch come in no fixed order; the list keeps ``seq``.
+that many groups, and its partial states are merged when read; a cold key keeps the one
+group. A key is hot in a batch of rows of a scan task that holds over ``spread_rows`` of
+its rows, and only those rows are spread. For that the reduce and aggregate functions must
+be associative and commutative. They must be so in any case here, as rows of a micro-batch
+come in no fixed order; the list keeps ``seq``.
+
+A null value is skipped by the value, reducing and aggregating state and kept in list and
+map. A key with nothing but nulls has a null total, a null reduced value and the
+accumulator that ``create`` makes. The null key is a key like any other. Rows come to
+Python with nulls, in key or value, marked in a column of their own: one null would make
+floats of a whole column of integers there.
 """
 
 from __future__ import annotations
@@ -21,13 +29,27 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StructType
+from pyspark.sql.types import (
+    BooleanType,
+    ByteType,
+    DataType,
+    IntegerType,
+    LongType,
+    NumericType,
+    ShortType,
+    StringType,
+    StructType,
+    TimestampType,
+)
 
 from .. import names
+from ..plans.hot import HOT_ROWS, find_hot
 from ..workdir import materialize
 from .backends import state_settings
 from .savepoint import Consumed, Savepoint, SavepointError, check_late, next_position
@@ -36,6 +58,9 @@ from .state import committed_batch, state_rows
 _POSITION = "position"
 # A list entry holds the rows of one frame, side by side.
 _CHUNK = "seqs array<bigint>, items array<bigint>"
+# Rows of one key in a batch of rows of a scan task, beyond which they are spread. Such a
+# batch has 10,000 rows unless the session says otherwise.
+SPREAD_ROWS = 500
 
 # Workers need no copy of this package: its classes and functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__package__.partition(".")[0]])
@@ -45,6 +70,49 @@ def _sum(a, b):
     return a + b
 
 
+_GROUP = ("key", "no_key", "shard")
+
+
+def _key_columns(kind: DataType) -> tuple[Column, Column]:
+    """The key without nulls, where its type has something to stand in, and the mark of a null."""
+    key, no_key = F.col("key"), F.col("key").isNull().alias("no_key")
+    if isinstance(kind, (NumericType, BooleanType, TimestampType)):
+        key = F.coalesce(key, F.lit(0).cast(kind)).alias("key")
+    elif isinstance(kind, StringType):
+        key = F.coalesce(key, F.lit("")).alias("key")
+    return key, no_key
+
+
+def _key_of() -> Column:
+    """The key of a row of state."""
+    return F.when(~F.col("key.no_key"), F.col("key.key")).alias("key")
+
+
+def _known(frame: pd.DataFrame) -> pd.Series:
+    """The values that are not null."""
+    return frame.loc[~frame["absent"], "value"]
+
+
+def _items(frame: pd.DataFrame) -> list[int | None]:
+    """All values as Python's integers, with the nulls among them."""
+    return [None if absent else value for value, absent in zip(frame["value"].tolist(), frame["absent"])]
+
+
+def _spread(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sets ``shard`` to 0 for rows of keys with at most ``limit`` rows in their batch."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names_ = batch.schema.names
+            hashes = batch.column(names_.index("key_hash")).to_numpy()
+            _, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            shards = batch.column(names_.index("shard")).to_numpy()
+            kept = np.where(counts[at] > limit, shards, 0).astype(np.int32)
+            yield batch.set_column(names_.index("shard"), "shard", pa.array(kept))
+
+    return place
+
+
 def _exact_sum(values: pd.Series) -> int:
     """The sum in Python's integers; past 64 bits the state refuses it, where pandas wraps."""
     return sum(values.tolist())
@@ -90,21 +158,23 @@ class KeyedStates(StatefulProcessor):
                     frame = frame[~late]
                     if frame.empty:
                         continue
-            values = frame["value"]
+            values = _known(frame)
             if names.VALUE in self.states:
-                self._add_total(_exact_sum(values))
+                self._add_total(values)
             if names.REDUCING in self.states:
-                self._reduce_with(functools.reduce(self.reduce, values.tolist()))
+                self._reduce_with(values)
             if names.AGGREGATING in self.states:
                 state = self.states[names.AGGREGATING]
                 held = state.get()
                 acc = tuple(held) if held else self.aggregate.create()
-                state.update(self.aggregate.add(acc, values))
+                state.update(self.aggregate.add(acc, values) if len(values) else acc)
             if names.LIST in self.states:
                 self._append(frame)
             if names.MAP in self.states:
                 for value, n in values.value_counts().items():
                     self._add_entry(int(value), int(n))
+                if nulls := len(frame) - len(values):
+                    self._add_entry(None, nulls)
             self._advance(len(frame), int(frame["seq"].min()), int(frame["seq"].max()))
         return iter(())
 
@@ -116,9 +186,9 @@ class KeyedStates(StatefulProcessor):
         """
         for operator, rows in initialState.groupby("operator"):
             if operator == names.VALUE:
-                self._add_total(_exact_sum(rows["value"]))
+                self._add_total(_known(rows))
             elif operator == names.REDUCING:
-                self._reduce_with(functools.reduce(self.reduce, rows["value"].tolist()))
+                self._reduce_with(_known(rows))
             elif operator == names.AGGREGATING:
                 state = self.states[names.AGGREGATING]
                 held = state.get()
@@ -129,28 +199,33 @@ class KeyedStates(StatefulProcessor):
             elif operator == names.LIST:
                 self._append(rows)
             elif operator == names.MAP:
-                for value, n in zip(rows["value"].tolist(), rows["n"].tolist()):
+                for value, n in zip(_items(rows), rows["n"].tolist()):
                     self.states[names.MAP].updateValue((value,), (n,))
 
     def close(self) -> None:
         pass
 
-    def _add_total(self, amount: int) -> None:
-        state = self.states[names.VALUE]
-        held = state.get()
-        state.update((held[0] + amount if held else amount,))
+    def _add_total(self, values: pd.Series) -> None:
+        self._fold(names.VALUE, _sum, values)
+
+    def _reduce_with(self, values: pd.Series) -> None:
+        self._fold(names.REDUCING, self.reduce, values)
 
-    def _reduce_with(self, item: int) -> None:
-        state = self.states[names.REDUCING]
+    def _fold(self, operator: str, function: Callable[[int, int], int], values: pd.Series) -> None:
+        """One state of one number: null until a value that is not null comes."""
+        state = self.states[operator]
         held = state.get()
-        state.update((self.reduce(held[0], item) if held else item,))
+        items = [held[0]] if held and held[0] is not None else []
+        items += values.tolist()
+        if items or not held:
+            state.update((functools.reduce(function, items) if items else None,))
 
     def _append(self, frame: pd.DataFrame) -> None:
         """Rows of one frame as one list entry: a frame is bounded, the list is not."""
-        chunk = (frame["seq"].tolist(), frame["value"].tolist())
+        chunk = (frame["seq"].tolist(), _items(frame))
         self.states[names.LIST].appendValue(chunk)
 
-    def _add_entry(self, value: int, n: int) -> None:
+    def _add_entry(self, value: int | None, n: int) -> None:
         held = self.states[names.MAP].getValue((value,))
         self.states[names.MAP].updateValue((value,), (held[0] + n if held else n,))
 
@@ -172,8 +247,9 @@ class KeyedStates(StatefulProcessor):
 class ProcessorJob:
     """A job over a stream of (seq, key, value), with user functions in Python.
 
-    Needs one of the RocksDB backends. ``shards`` may differ between a job and the
-    one that is restored from its savepoint.
+    Needs one of the RocksDB backends. ``shards`` is the number of groups that a hot key is
+    spread over, see the module; it may differ between a job and the one that is restored
+    from its savepoint.
     """
 
     def __init__(
@@ -190,11 +266,13 @@ class ProcessorJob:
         shards: int = 1,
         drop_others: bool = False,
         first: int = 0,
+        spread_rows: int = SPREAD_ROWS,
     ):
         if backend == "hashmap":
             raise ValueError("state variables need a rocksdb backend; use BuiltinJob on hashmap")
         self.spark, self.home = spark, home.rstrip("/")
-        self.backend, self.partitions, self.shards = backend, partitions, shards
+        self.backend, self.partitions = backend, partitions
+        self.shards, self.spread_rows = shards, spread_rows
         self.operators, self.reduce, self.aggregate = operators, reduce, aggregate
         self.base = savepoint
         self._scanned: dict[int, dict[str, DataFrame]] = {}
@@ -215,14 +293,14 @@ class ProcessorJob:
 
     def start(self, **trigger) -> list[StreamingQuery]:
         """Start, or start again on the same checkpoint. Default trigger: all available."""
-        rows = self.stream.withColumn("shard", self._shard(F.col("seq")))
+        rows = self._placed()
         initial = self._initial_rows()
-        updates = rows.groupBy("key", "shard").transformWithStateInPandas(
+        updates = rows.groupBy(*_GROUP).transformWithStateInPandas(
             KeyedStates(self.operators, self.reduce, self.aggregate, self.next_index),
             outputStructType="key string",
             outputMode="update",
             timeMode="none",
-            initialState=initial.groupBy("key", "shard") if initial is not None else None,
+            initialState=initial.groupBy(*_GROUP) if initial is not None else None,
         )
         with state_settings(self.spark, self.backend, self.partitions):
             query = (
@@ -295,17 +373,48 @@ class ProcessorJob:
         position = next_position(self.base, consumed, source, self.first)
         return Savepoint.write(self.spark, path, self.flush(), position)
 
+    def fan_out(self) -> DataFrame:
+        """(key, groups): over how many groups the state of each key is spread."""
+        groups = self._variable(_POSITION, committed_batch(self.spark, self.checkpoint))
+        return groups.groupBy(_key_of()).agg(F.count(F.lit(1)).alias("groups"))
+
+    def _placed(self) -> DataFrame:
+        """The stream's rows with their shard, and nulls marked apart from the values."""
+        value = F.col("value").cast("bigint")
+        rows = self.stream.select(
+            *_key_columns(self.stream.schema["key"].dataType),
+            "seq",
+            F.coalesce(value, F.lit(0)).alias("value"),
+            value.isNull().alias("absent"),
+            self._shard(F.col("seq")).alias("shard"),
+        )
+        if self.shards == 1:
+            return rows
+        hashed = rows.withColumn("key_hash", F.xxhash64("key", "no_key"))
+        return hashed.mapInArrow(_spread(self.spread_rows), hashed.schema).drop("key_hash")
+
     def _shard(self, of: Column) -> Column:
         if self.shards == 1:
             return F.lit(0)
         return F.pmod(F.xxhash64(of), F.lit(self.shards)).cast("int")
 
+    def _shards_of(self, table: DataFrame, of: Column) -> DataFrame:
+        """A savepoint's rows with their shard: 0 but for keys that have very many of them."""
+        hot = find_hot(table, HOT_ROWS) if self.shards > 1 else None
+        if hot is None:
+            return table.withColumn("shard", F.lit(0))
+        # A flag of its own, as the hot key may be the null key.
+        tags = hot.table.select("hot_key", F.lit(True).alias("is_hot"))
+        joined = table.join(tags, table["key"].eqNullSafe(tags["hot_key"]), "left")
+        shard = F.when(F.col("is_hot"), self._shard(of)).otherwise(0)
+        return joined.withColumn("shard", shard).drop("hot_key", "is_hot")
+
     def _variable(self, variable: str, batch: int) -> DataFrame:
         return state_rows(self.spark, self.checkpoint, batch, variable)
 
     def _table(self, operator: str, batch: int) -> DataFrame:
         rows = self._variable(operator, batch)
-        key = F.col("key.key").alias("key")
+        key = _key_of()
         if operator == names.LIST:
             pairs = F.explode(F.arrays_zip("list_element.seqs", "list_element.items"))
             return rows.select(key, pairs.alias("pair")).select(
@@ -329,15 +438,22 @@ class ProcessorJob:
         """One row per key. A key has at most ``shards`` rows."""
         if self.shards == 1:
             return partial
-        return partial.groupBy("key").applyInPandas(merge, partial.schema)
+        marked = partial
+        if "reduced" in partial.columns:
+            number = F.col("reduced")
+            marked = partial.select(
+                "key", F.coalesce(number, F.lit(0)).alias("value"), number.isNull().alias("absent")
+            )
+        return marked.groupBy("key").applyInPandas(merge, partial.schema)
 
     @property
     def _reduced_of(self) -> Callable[[pd.DataFrame], pd.DataFrame]:
         reduce = self.reduce
 
         def merge(frame: pd.DataFrame) -> pd.DataFrame:
-            value = functools.reduce(reduce, frame["reduced"].tolist())
-            return frame.head(1)[["key"]].assign(reduced=value)
+            values = _known(frame).tolist()
+            value = functools.reduce(reduce, values) if values else None
+            return frame.head(1)[["key"]].assign(reduced=pd.Series([value], frame.index[:1], "Int64"))
 
         return merge
 
@@ -361,7 +477,7 @@ class ProcessorJob:
         stacked = None
         for operator, table in self.before.items():
             fill: dict[str, Any] = {"seq": zero, "value": zero, "n": zero, "acc": F.lit("")}
-            spread = zero
+            spread = None
             if operator == names.VALUE:
                 fill["value"] = F.col("total")
             elif operator == names.REDUCING:
@@ -373,10 +489,14 @@ class ProcessorJob:
                 fill["seq"], fill["value"], spread = F.col("seq"), F.col("value"), F.col("seq")
             else:
                 fill["value"], fill["n"], spread = F.col("value"), F.col("n"), F.col("value")
-            rows = table.select(
-                "key",
-                self._shard(spread).alias("shard"),
+            value = fill.pop("value")
+            placed = table.withColumn("shard", F.lit(0)) if spread is None else self._shards_of(table, spread)
+            rows = placed.select(
+                *_key_columns(table.schema["key"].dataType),
+                "shard",
                 F.lit(operator).alias("operator"),
+                F.coalesce(value, zero).alias("value"),
+                value.isNull().alias("absent"),
                 *(column.alias(name) for name, column in fill.items()),
             )
             stacked = rows if stacked is None else stacked.unionByName(rows)

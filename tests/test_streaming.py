@@ -371,3 +371,49 @@ def test_mixed_accumulator_over_a_restore(spark, tmp_path):
     _records(spark, 10, 20).write.mode("append").parquet(str(tmp_path / "in"))
     found = make("two", saved).run().results()["aggregating_state"].collect()
     assert sorted(r.aggregated for r in found) == ["10 22.5 v009", "10 22.5 v009"]
+
+
+def _nulled(spark, big=0):
+    """Keys 0 and 1 with some nulls, key 2 with nothing else, and the null key."""
+    return spark.createDataFrame(
+        [(i, [0, 1, 2, None][i % 4], None if i % 4 == 2 or i % 3 == 0 else big + i) for i in range(120)],
+        "seq bigint, key bigint, value bigint",
+    )
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_nulls_in_the_python_job(spark, shards):
+    # Numbers past 2^53, which no float holds.
+    records = _nulled(spark, 2**55)
+    path = fresh_dir(spark, "slices")
+    land_slices(records, path, 2, files_per_slice=1, only=range(1))
+    stream = open_slices(spark, path, records.schema)
+    make = lambda n, saved=None: ProcessorJob(
+        spark, stream, fresh_dir(spark, "job"), "rocksdb", 2, saved, shards=n, spread_rows=2
+    )
+    saved = make(shards).run().savepoint(fresh_dir(spark, "savepoint"))
+    land_slices(records, path, 2, files_per_slice=1, only=range(1, 2))
+    tables = make(4 - shards, saved).run().flush()
+    acc = rows(tables[names.AGGREGATING].selectExpr("key", "acc.acc as total"))
+    totals = rows(value_state(records))
+    # The accumulator of a key with nulls alone is what it was made as.
+    assert acc == sorted([(k, t or 0) for k, t in totals], key=repr)
+    reduced = tables[names.REDUCING]
+    assert rows(reduced) == totals
+    del tables[names.AGGREGATING], tables[names.REDUCING]
+    assert_complete(tables, records)
+
+
+def test_only_hot_keys_are_spread(spark):
+    # Key 0 has a third of all rows, each other key fewer than are spread.
+    records = spark.range(3000).selectExpr(
+        "id as seq", "case when id % 3 = 0 then 0L else 1 + id % 97 end as key", "id as value"
+    )
+    path = fresh_dir(spark, "slices")
+    cut = land_slices(records, path, 1, files_per_slice=1)
+    stream = open_slices(spark, path, records.schema, cut.files_per_slice)
+    job = ProcessorJob(spark, stream, fresh_dir(spark, "job"), "rocksdb", 2, shards=8, spread_rows=200).run()
+    groups = dict(rows(job.fan_out()))
+    assert groups.pop(0) == 8
+    assert set(groups.values()) == {1}
+    assert_complete(job.flush(), records)
