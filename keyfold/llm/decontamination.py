@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .frames import SIGNS, flat_bytes, flat_words, materialize, slices, table
+from .frames import SIGNS, flat_bytes, flat_words, materialize, own_names, slices, table
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -259,6 +259,7 @@ def judged(documents: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+@own_names
 def clean_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The rows that are not contaminated, with all their columns."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import sys
 from collections.abc import Callable, Iterator
@@ -31,6 +32,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For a function of documents that gives back their columns and adds helpers, named with
+    two underscores, on its way: columns of the documents with such names are set aside in a
+    struct meanwhile, and come back with their names, values and places."""
+
+    def quoted(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+
+    @functools.wraps(stage)
+    def run(documents: DataFrame, *args, **more) -> DataFrame:
+        columns = documents.columns
+        aside = [c for c in columns if c.startswith("__")]
+        if not aside:
+            return stage(documents, *args, **more)
+        box = "aside"
+        while box in {c.lower() for c in columns}:
+            box += "_"
+        kept = [F.col(quoted(c)) for c in columns if c not in aside]
+        found = stage(documents.select(*kept, F.struct(*(F.col(quoted(c)) for c in aside)).alias(box)), *args, **more)
+        return found.select(*(F.col(f"{box}.{quoted(c)}").alias(c) if c in aside else F.col(quoted(c)) for c in columns))
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in order, in pieces of at most ``most`` bytes of ``column``."""
     if not batch.num_rows:

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
-from .frames import SPACES, flat_bytes, flat_words, materialize, numbered, per_worker, renamed, slices, table
+from .frames import SPACES, flat_bytes, flat_words, materialize, numbered, own_names, per_worker, renamed, slices, table
 from .suffix_dedup import packed
 
 BANDS, ROWS = 40, 5
@@ -374,6 +374,7 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     return renamed(documents, found.select("id", "n_shingles", "component_id", kept.alias("kept")), numbers)
 
 
+@own_names
 def without_near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns."""
     texts, numbers = numbered(documents)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .frames import SPACES, byte_set, flat_bytes, flat_words, materialize, slices, table
+from .frames import SPACES, byte_set, flat_bytes, flat_words, materialize, own_names, slices, table
 from .linear import fit_dense, platt, sigmoid
 from .toxicity import bounded, held_out, in_order, labels_of
 
@@ -209,6 +209,7 @@ def scored(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     return rows.mapInArrow(score, "doc_id long, content_score double, page_score double, score double, rejected boolean")
 
 
+@own_names
 def good_documents(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows that are not rejected, with all their columns. They are scored where they
     are read, so no text is shuffled and equal ids do not matter."""

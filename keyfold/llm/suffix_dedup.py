@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .difference_cover import equal_neighbours, sort_suffixes
-from .frames import flat_bytes, materialize, numbered, per_worker, renamed, slices, table
+from .frames import flat_bytes, materialize, numbered, own_names, per_worker, renamed, slices, table
 
 LENGTH = 100
 GRAM = 24
@@ -353,6 +353,7 @@ def deduplicated(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, w
     return renamed(documents, _deduplicated(texts, length, gram, with_kept), numbers)
 
 
+@own_names
 def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The documents with what stays as their text, and its code points as ``n_chars``."""
     texts, numbers = numbered(documents)

@@ -12,7 +12,7 @@ Trees are a table of their own (doc_id, hash, leaves), written once and met by e
 counts after an edit cost what it touches, not what the text holds.
 
 Defined results: a null text is an empty one. Edits of a document are made in the order of
-``seq``; places are code points of the text as it then is, and those past an end are moved
+``seq``, nulls last, and those of one ``seq`` by place, characters removed and insertion; places are code points of the text as it then is, and those past an end are moved
 to the end; null places are 0, a null insertion is nothing. Rows with the same id are edited
 each for themselves, by all edits of that id. Edits of ids that no document has are not
 used. Other columns are not read.
@@ -187,7 +187,7 @@ def counted_after(documents: DataFrame, edits: DataFrame, planted: DataFrame, vo
             for part in slices(batch, "z", 1 << 20):
                 out: list[list] = [[] for _ in schema]
                 for doc, z, leaves, own in zip(*(part[k].to_pylist() for k in ("doc_id", "z", "leaves", "edits"))):
-                    text, own = press.decompress(z).decode(), sorted(own or (), key=lambda e: (e["seq"] is None, e["seq"] or 0))
+                    text, own = press.decompress(z).decode(), sorted(own or (), key=_turn)
                     tree = Tree(np.frombuffer(leaves, "<u4").astype(int).reshape(-1, 2).tolist())
                     before, recoded = tree.total[1], 0
                     for e in own:
@@ -208,6 +208,11 @@ def counted_after(documents: DataFrame, edits: DataFrame, planted: DataFrame, vo
     return rows.mapInArrow(follow, "doc_id long, tokens_before long, tokens_after long, n_edits long, n_chars long, recoded_chars long, text string, leaves binary")
 
 
+def _turn(e: dict) -> tuple:
+    """The place of an edit among those of its document, whatever order they come in."""
+    return e["seq"] is None, e["seq"] or 0, e["start"] or 0, e["removed"] or 0, e["inserted"] or ""
+
+
 def revisions(documents: DataFrame, each: int = EDITS) -> DataFrame:
     """An edit history made of the documents themselves: at ``each`` places that a hash
     names, some characters give way to a stretch of the same text."""

@@ -43,6 +43,12 @@ def test_ids_equal_those_of_the_whole_text():
     assert [next(iter(packing.encode(pa.array([t])))).tolist() for t in TEXTS[1:]] == found[1:]
 
 
+def test_ids_of_a_text_encoded_in_stretches():
+    # Beyond 1 Mi characters: cut at blanks, with a run of signs and no blank at the first cut.
+    text = "don't stop, 12 words. " * 47_600 + "x" * 3_000 + "\n" * 2_000 + " É. end|a " * 60_000
+    assert next(iter(packing.encode(pa.array([text])))).tolist() == plain_ids(text)
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 65, 2047, 2048, 2049, 2112, 5000])
 def test_cuts(n):
     at = packing.cuts(n)

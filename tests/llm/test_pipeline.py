@@ -76,6 +76,18 @@ def test_hostile_rows(spark, sf_dir, tmp_path):
     for name, stage in p.STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
         assert docs.columns == [*COLUMNS, "kept"]
+    # Columns named as the helpers of the stages.
+    clash = ["__key", "__id", "__hash", "__text", "__chars", "__source", "__lang", "__kept", "__Number", "__doc", "__numbered", "aside"]
+    odd = spark.createDataFrame([(*r, *(f"{c} {i}" for c in clash)) for i, r in enumerate(rows)], ", ".join(
+        ["doc_id long, text string, lang string, source string, n_chars long", *(f"`{c}` string" for c in clash)]
+    ))
+    for distinct in (False, True):
+        for name, stage in p.STAGES[:-1]:
+            given = odd.where("doc_id between 5 and 12") if distinct else odd
+            found = stage(spark, given, sf_dir)
+            assert found.columns == given.columns
+            told = {tuple(r[c] for c in clash) for r in given.collect()}
+            assert found.count() and {tuple(r[c] for c in clash) for r in found.collect()} <= told, name
     left = docs.collect()
     assert sum(r.doc_id == 3 for r in left) == 1 and sum(r.doc_id == 4 for r in left) == 2 and sum(r.doc_id is None for r in left) == 2
     assert p.packing(spark, docs, sf_dir).count() >= len(left)

@@ -79,3 +79,15 @@ def test_query(spark, sf_dir):
         text[i] = text[i][:start] + inserted + text[i][start + removed :] if start <= len(text[i]) else text[i] + inserted
     found = {r.doc_id: (r.tokens_before, r.tokens_after, r.n_edits, r.n_chars) for r in t.op4_token_counts(spark, sf_dir).collect()}
     assert found == {i: (before[i], total(x), t.EDITS, len(x)) for i, x in text.items()}
+
+
+def test_edits_with_one_seq_have_an_order(spark):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    schema = "doc_id long, seq long, start long, removed long, inserted string"
+    edits = [(1, 1, 4, 3, "2"), (1, 1, 4, 3, "zwei"), (1, 1, 0, 3, "uno"), (1, None, 0, 1, ""), (1, 1, 0, 0, "a ")]
+    planted = t.trees(docs)
+    found = {t.counted_after(docs, spark.createDataFrame(x, schema).coalesce(1), planted).first().text for x in (edits, edits[::-1])}
+    text = "one two three"
+    for start, removed, inserted in [(0, 0, "a "), (0, 3, "uno"), (4, 3, "2"), (4, 3, "zwei"), (0, 1, "")]:
+        text = text[:start] + inserted + text[start + removed :]
+    assert found == {text}
