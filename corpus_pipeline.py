@@ -3,6 +3,13 @@
 Each stage calls one operator of ``keyfold.llm`` on all that the stage before it kept, and
 what it decides is done: rejected documents go, one of each group of near duplicates stays,
 repeated strings are cut out of the texts, contaminated documents go, the rest is packed.
+
+Defined results: all stages but the last keep every column under its name, those named as a
+stage's helpers too. Null texts count as empty ones; empty documents link with nothing, are
+never contaminated, and are packed as their closing id alone. Rows with one id and different
+texts are documents each for itself; of rows equal in both, one stays. Equal texts under other
+ids, or none, are near duplicates of each other, and the least id stays. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
