@@ -15,6 +15,8 @@ from .functions import (
     histogram_text,
     int_div,
     list_text,
+    parse_histogram_rows,
+    parse_list_rows,
     parse_payload_lines,
     parse_total_lines,
     scalar_text,
@@ -35,11 +37,11 @@ from .operators import (
     running_value,
     value_state,
 )
-from .plans import checks
+from .plans import checks, row_checks
 from .plans.five_state import keyed_state
 from .plans.hot import HOT_ROWS
 from .plans.payloads import as_text, result_lines, state_payloads, table_payloads
-from .plans.sinks import read_lines, write_lines
+from .plans.sinks import read_lines, write_lines, write_result_lines
 from .sources import events_as_sequence, events_keyed, land_slices, open_slices, table
 from .streaming import BuiltinJob, OrderedFold, ProcessorJob, PythonAggregate, log_batches, mean_aggregate
 from .workdir import fresh_dir
@@ -151,6 +153,38 @@ def parse_list_lines(spark, sf_dir):
     return parse_payload_lines(read_lines(spark, path)).select("key", "payload")
 
 
+def _lines_in_parts(spark, sf_dir, operators):
+    """Folder of the result lines of ``operators``, lists and maps in parts of SPLIT_ROWS."""
+    records = events_keyed(spark, sf_dir)
+    tables = {names.LIST: list_rows(records), names.MAP: histogram_rows(records)}
+    path = fresh_dir(spark, "lines")
+    payloads = table_payloads({o: tables[o] for o in operators}, SPLIT_ROWS)
+    write_result_lines(result_lines(payloads), path)
+    return path
+
+
+@register(
+    "list_lines_in_parts",
+    _with(_KEYED)
+    + """select key, row_number() over (partition by key order by seq) - 1 as pos, value from keyed""",
+)
+def _(spark, sf_dir):
+    """Lists written as lines, in parts, and read back with every element at its place."""
+    path = _lines_in_parts(spark, sf_dir, (names.LIST,))
+    return parse_list_rows(read_lines(spark, f"{path}/operator={names.LIST}"), SPLIT_ROWS)
+
+
+@register(
+    "map_lines_in_parts",
+    _with(_KEYED)
+    + """select key, row_number() over (partition by key order by value) - 1 as pos, value, n
+from (select key, value, count(*) as n from keyed group by key, value)""",
+)
+def _(spark, sf_dir):
+    path = _lines_in_parts(spark, sf_dir, (names.MAP,))
+    return parse_histogram_rows(read_lines(spark, f"{path}/operator={names.MAP}"), SPLIT_ROWS)
+
+
 @register(
     "expected_list",
     _with(_COUNTS)
@@ -998,7 +1032,7 @@ def _(spark, sf_dir):
     }
     report = None
     for operator, table_ in found.items():
-        faulty = checks.difference(table_, replayed[operator]).agg(F.count(F.lit(1)).alias("faults"))
+        faulty = row_checks.differing_rows(table_, replayed[operator]).agg(F.count(F.lit(1)).alias("faults"))
         row = table_.agg(
             F.lit(operator).alias("operator"), F.count(F.lit(1)).alias("rows")
         ).withColumn("faults", faulty.scalar())
@@ -1018,3 +1052,168 @@ group by key, total having sum(side) <> 0""",
 def _(spark, sf_dir):
     totals = value_state(events_keyed(spark, sf_dir))
     return checks.difference(_damage(totals, {"total": F.col("total") + 1}), totals)
+
+
+# Checks in long form, one row an element
+
+
+def _row_compare_sql(found, expected, columns, on="key"):
+    return f"""select {on}, cast(sum(f) as bigint) as rows, cast(sum(e) as bigint) as wanted,
+  cast(sum(greatest(e - f, 0)) as bigint) as lacking, cast(sum(greatest(f - e, 0)) as bigint) as surplus,
+  case when sum(f) = 0 then 'missing' when sum(e) = 0 then 'extra'
+    when sum(abs(f - e)) = 0 then 'ok'
+    when bool_and(f >= e and (f = e or e > 0)) then 'duplicate' else 'wrong' end as status
+from (select {columns}, sum(f) as f, sum(e) as e
+  from (select {columns}, 1 as f, 0 as e from {found}
+    union all select {columns}, 0, 1 from {expected}) both_sides
+  group by {columns}) each_row
+group by {on}"""
+
+
+# The sequence as it must be, from its number of records alone.
+_MADE = f"""made as (
+  select range as seq, range % {KEYS} as key, range // {KEYS} as value
+  from range((select count(*) from events)))"""
+_MADE_MAP = "made_map as (select key, value, count(*) as n from made group by key, value)"
+_MAPS = "maps as (select key, value, count(*) as n from indexed group by key, value)"
+# In the changed list one element comes with the value of the next; in the changed map
+# one value was counted twice.
+_SEQ_DAMAGE = _damage_sql(
+    "indexed", ["seq", "value"], {"value": f"case when seq < {KEYS} then value + 1 else value end"}
+)
+_MAP_DAMAGE = _damage_sql("maps", ["value", "n"], {"n": "case when value = 0 then n + 1 else n end"})
+
+
+def _damaged_list(records):
+    first = F.col("seq") < KEYS
+    return _damage(
+        list_rows(records),
+        {"value": F.when(first, F.col("value") + 1).otherwise(F.col("value"))},
+    )
+
+
+def _damaged_map(records):
+    first = F.col("value") == 0
+    return _damage(
+        histogram_rows(records), {"n": F.when(first, F.col("n") + 1).otherwise(F.col("n"))}
+    )
+
+
+@register(
+    "check_list_rows",
+    _with(_INDEXED, _MADE) + _row_compare_sql("indexed", "made", "key, seq, value"),
+)
+def _(spark, sf_dir):
+    records, total = _indexed(spark, sf_dir)
+    return row_checks.check_list_rows(list_rows(records), total, KEYS)
+
+
+@register(
+    "check_list_rows_damaged",
+    _with(_INDEXED, _MADE, _SEQ_DAMAGE) + _row_compare_sql("damaged", "made", "key, seq, value"),
+)
+def _(spark, sf_dir):
+    records, total = _indexed(spark, sf_dir)
+    return row_checks.check_list_rows(_damaged_list(records), total, KEYS)
+
+
+@register(
+    "check_map_rows",
+    _with(_INDEXED, _MAPS, _MADE, _MADE_MAP) + _row_compare_sql("maps", "made_map", "key, value, n"),
+)
+def _(spark, sf_dir):
+    records, total = _indexed(spark, sf_dir)
+    return row_checks.check_map_rows(histogram_rows(records), total, KEYS)
+
+
+@register(
+    "check_map_rows_damaged",
+    _with(_INDEXED, _MAPS, _MADE, _MADE_MAP, _MAP_DAMAGE)
+    + _row_compare_sql("damaged", "made_map", "key, value, n"),
+)
+def _(spark, sf_dir):
+    records, total = _indexed(spark, sf_dir)
+    return row_checks.check_map_rows(_damaged_map(records), total, KEYS)
+
+
+def _report_rows_sql(totals, lists, maps):
+    sides = []
+    for name, a, b, c in (("found", totals, lists, maps), ("wished", "sums", "made", "made_map")):
+        scalars = " union all ".join(
+            f"select '{o}' as operator, key, total as x, cast(null as bigint) as y from {a}"
+            for o in (names.VALUE, names.REDUCING, names.AGGREGATING)
+        )
+        sides.append(f"""{name} as ({scalars}
+  union all select '{names.LIST}', key, seq, value from {b}
+  union all select '{names.MAP}', key, value, n from {c})""")
+    sums = "sums as (select key, m * (m - 1) // 2 as total from counts)"
+    return [sums, *sides]
+
+
+@register(
+    "check_report_rows",
+    _with(_INDEXED, _TOTALS, _COUNTS, _MAPS, _MADE, _MADE_MAP, *_report_rows_sql("totals", "indexed", "maps"))
+    + _row_compare_sql("found", "wished", "operator, key, x, y", "operator, key"),
+)
+def _(spark, sf_dir):
+    """All five operators of a stopped and restored stream of the numbered sequence."""
+    records, total = _indexed(spark, sf_dir)
+    path, half = fresh_dir(spark, "slices"), SLICES // 2
+    cut = land_slices(records, path, SLICES, only=range(half))
+    stream = open_slices(spark, path, records.schema, cut.files_per_slice)
+    job = _job(BuiltinJob, spark, sf_dir, "hashmap")(stream).run()
+    saved = job.savepoint(fresh_dir(spark, "savepoint"))
+    land_slices(records, path, SLICES, only=range(half, SLICES))
+    restored = _job(BuiltinJob, spark, sf_dir, "rocksdb", 0.5)(stream, saved).run()
+    return row_checks.check_report_rows(restored.results(), total, KEYS)
+
+
+_TOTALS_DAMAGED, _LISTS_DAMAGED, _MAPS_DAMAGED = (
+    sql.replace("damaged as", f"damaged_{view} as", 1)
+    for sql, view in ((_TOTAL_DAMAGE, "totals"), (_SEQ_DAMAGE, "lists"), (_MAP_DAMAGE, "maps"))
+)
+
+
+@register(
+    "check_report_rows_damaged",
+    _with(
+        _INDEXED,
+        _TOTALS,
+        _COUNTS,
+        _MAPS,
+        _MADE,
+        _MADE_MAP,
+        _TOTALS_DAMAGED,
+        _LISTS_DAMAGED,
+        _MAPS_DAMAGED,
+        *_report_rows_sql("damaged_totals", "damaged_lists", "damaged_maps"),
+    )
+    + "select * from ("
+    + _row_compare_sql("found", "wished", "operator, key, x, y", "operator, key")
+    + ") where status <> 'ok'",
+)
+def _(spark, sf_dir):
+    records, total = _indexed(spark, sf_dir)
+    totals = _damage(value_state(records), {"total": F.col("total") + 1})
+    scalars = dict.fromkeys((names.VALUE, names.REDUCING, names.AGGREGATING), totals)
+    nested = {names.LIST: _damaged_list(records), names.MAP: _damaged_map(records)}
+    return checks.faults(row_checks.check_report_rows({**scalars, **nested}, total, KEYS))
+
+
+@register(
+    "check_replay_rows_damaged",
+    _with(_KEYED)
+    + """select key, seq, value, cast(sum(side) as bigint) as surplus
+from (select key, seq, value + case when seq % 97 = 5 then 1 else 0 end as value, 1 as side
+    from keyed where seq % 89 <> 7
+  union all select key, seq, value, 1 from keyed where seq % 83 = 11
+  union all select key, seq, value, -1 from keyed)
+group by key, seq, value having sum(side) <> 0""",
+)
+def _(spark, sf_dir):
+    """A list with rows changed, dropped and doubled, against a pass over all records."""
+    replayed = list_rows(events_keyed(spark, sf_dir))
+    changed = F.col("value") + F.when(F.col("seq") % 97 == 5, 1).otherwise(0)
+    found = replayed.filter(F.col("seq") % 89 != 7).withColumn("value", changed)
+    found = found.unionByName(replayed.filter(F.col("seq") % 83 == 11))
+    return row_checks.differing_rows(found, replayed)

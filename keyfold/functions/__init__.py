@@ -4,6 +4,8 @@ from .records import unwrap, wrap
 from .text import (
     histogram_text,
     list_text,
+    parse_histogram_rows,
+    parse_list_rows,
     parse_payload_lines,
     parse_total_lines,
     scalar_text,
@@ -16,6 +18,8 @@ __all__ = [
     "histogram_text",
     "int_div",
     "list_text",
+    "parse_histogram_rows",
+    "parse_list_rows",
     "parse_payload_lines",
     "parse_total_lines",
     "scalar_text",

@@ -68,5 +68,5 @@ def table_payloads(tables: dict[str, DataFrame], per_row: int = HOT_ROWS) -> Dat
 
 def result_lines(payloads: DataFrame) -> DataFrame:
     """(operator, key, part, line)."""
-    line = state_line(F.col("key"), F.col("payload")).alias("line")
+    line = state_line(F.col("key"), F.col("payload"), F.col("part")).alias("line")
     return payloads.select("operator", "key", "part", line)

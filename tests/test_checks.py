@@ -5,12 +5,17 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from keyfold import names
-from keyfold.operators import histogram_parts, list_parts, value_state
+from keyfold.operators import histogram_parts, histogram_rows, list_parts, value_state
 from keyfold.plans import checks
 from keyfold.plans.five_state import keyed_state
-from keyfold.plans.payloads import result_lines, state_payloads
+from keyfold.plans.payloads import result_lines, state_payloads, table_payloads
 from keyfold.plans.sinks import read_lines, write_lines, write_result_lines
-from keyfold.functions import parse_payload_lines, parse_total_lines
+from keyfold.functions import (
+    parse_histogram_rows,
+    parse_list_rows,
+    parse_payload_lines,
+    parse_total_lines,
+)
 from keyfold.sources import sequence
 from keyfold.workdir import fresh_dir
 
@@ -100,6 +105,34 @@ def test_lines_round_trip(spark):
     assert rows(lists.select("key", "payload"))[0] == (0, " ".join(map(str, range(13))))
 
 
+@pytest.mark.parametrize("per_row", [1, 4, 1000])
+def test_lines_in_parts_keep_their_order(spark, per_row):
+    """A list or map in many parts comes back element by element, from any order of lines."""
+    data = [(i, i % 3 if i % 11 else None, None if i % 7 == 0 else i % 5) for i in range(60)]
+    records = spark.createDataFrame(data, "seq bigint, key bigint, value bigint")
+    tables = {names.LIST: records, names.MAP: histogram_rows(records)}
+    path = fresh_dir(spark, "results")
+    write_result_lines(result_lines(table_payloads(tables, per_row)), path)
+    mixed = read_lines(spark, f"{path}/operator={names.LIST}").orderBy(F.xxhash64("value"))
+    found = {}
+    for key, pos, value in sorted(rows(parse_list_rows(mixed, per_row)), key=lambda r: r[1]):
+        assert pos == len(found.setdefault(key, []))
+        found[key].append(value)
+    listed = {}
+    for seq, key, value in data:
+        listed.setdefault(key, []).append(value)
+    assert found == listed and set(listed) == {0, 1, 2, None}
+    maps = parse_histogram_rows(read_lines(spark, f"{path}/operator={names.MAP}"), per_row)
+    assert rows(maps.select("key", "value", "n")) == rows(tables[names.MAP].select("key", "value", "n"))
+
+
+def test_heads_of_lines(spark):
+    lines = spark.createDataFrame([("5 1 2",), ("5:2 3",), ("5:x 4",), ("-6:1",), ("",)], "value string")
+    assert rows(parse_payload_lines(lines).select("key", "part", "payload")) == sorted(
+        [(5, 0, "1 2"), (5, 2, "3"), (5, None, "4"), (-6, 1, None), (None, 0, None)], key=repr
+    )
+
+
 def test_unreadable_lines_are_reported_not_raised(spark):
     path = fresh_dir(spark, "lines")
     lines = spark.createDataFrame([("1 10",), ("x 2",), ("3",), ("4   40",)], "line string")
