@@ -1,8 +1,9 @@
 """State as text lines, and text lines as typed rows.
 
 Fixed formats: ``key total``, ``key v0 v1 …`` and ``key v0,n0 v1,n1 …``. A null in a list or
-map, and the null key, read ``null``. A list or map that goes on in further parts has lines ``key:1 …``,
-``key:2 …`` for them, so the lines of one key can be put in order wherever they are read.
+map, and the null key, read ``null``. A list or map that goes on in further parts has lines
+``key:1 …``, ``key:2 …`` for them, so the lines of one key can be put in order wherever they
+are read.
 """
 
 from __future__ import annotations
