@@ -20,6 +20,7 @@ from keyfold.streaming import (
     log_batches,
     state_settings,
 )
+from keyfold.streaming.state import committed_batch
 from keyfold.workdir import fresh_dir, shared_dir
 
 RECORDS, KEYS, SLICES = 1205, 50, 4
@@ -417,3 +418,53 @@ def test_only_hot_keys_are_spread(spark):
     assert groups.pop(0) == 8
     assert set(groups.values()) == {1}
     assert_complete(job.flush(), records)
+
+
+@pytest.mark.parametrize("spread", [1, 2**40 + 1])
+def test_the_map_of_the_python_job_is_in_pages(spark, spread):
+    """1,500 values a key, near each other or not, come in two batches and over a restore."""
+    records = spark.range(6000).selectExpr(
+        "id as seq", "id % 2 as key", f"if(id % 1000 < 2, null, (id div 4 - 700) * {spread}L) as value"
+    )
+    path = fresh_dir(spark, "slices")
+    land_slices(records, path, SLICES, files_per_slice=1, only=range(2))
+    stream = open_slices(spark, path, records.schema)
+    make = lambda saved=None: ProcessorJob(
+        spark, stream, fresh_dir(spark, "job"), "rocksdb", 2, saved, operators=(names.MAP, names.LIST)
+    )
+    first = make().run()
+    saved = first.savepoint(fresh_dir(spark, "savepoint"))
+    land_slices(records, path, SLICES, files_per_slice=1, only=range(2, 4))
+    second = make(saved).run()
+    assert_complete(second.flush(), records)
+    # A state entry holds many map entries, and no entry grows past a few pages' worth.
+    for job, most in ((first, 8), (second, 16)):
+        pages = job._variable(names.MAP, committed_batch(spark, job.checkpoint))
+        sizes = [r[0] for r in pages.selectExpr("size(user_map_value.items)").collect()]
+        assert len(sizes) <= 2 * most and max(sizes) < 512
+
+
+def test_a_group_comes_to_the_state_in_one_row(spark):
+    import pyarrow as pa
+
+    from keyfold.streaming.processor import _pack
+
+    rows_ = {"key": [5, 5, 0, 5, 0], "no_key": [False] * 2 + [True, False, False], "shard": [0, 0, 0, 1, 0]}
+    batch = pa.RecordBatch.from_pydict(rows_ | {"seq": [1, 2, 3, 4, 5], "value": [7, None, 8, 9, 10]})
+    found = [tuple(r.values()) for b in _pack(iter([batch, batch.slice(0, 1)])) for r in b.to_pylist()]
+    expected = [(0, False, 0, [5], [10]), (0, True, 0, [3], [8]), (5, False, 0, [1, 2, 1], [7, None, 7]), (5, False, 1, [4], [9])]
+    assert sorted(found, key=repr) == expected
+
+
+def test_the_python_job_has_partitions_for_every_core(spark, sf_dir):
+    """Also with half as many; the rows of a small file may be many."""
+    from keyfold import catalog
+
+    cores, setting = spark.sparkContext.defaultParallelism, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "200")
+        assert catalog._partitions(spark, sf_dir, ProcessorJob) // 2 >= cores
+        assert catalog._partitions(spark, sf_dir) == 4
+    finally:
+        spark.conf.set(setting, before)
