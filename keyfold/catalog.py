@@ -501,18 +501,21 @@ def _restored(spark, sf_dir, first, second):
     return result_lines(table_payloads(second(stream, saved).run().results()))
 
 
-def _partitions(spark, sf_dir):
+def _partitions(spark, sf_dir, kind=BuiltinJob):
     """State partitions: as many as the input has scan partitions, within the session's.
 
-    A stream keeps its count for good, and each partition costs a store per batch.
+    A stream keeps its count for good, and each partition costs a store per batch. Python's
+    time goes with the rows, not the bytes, so its job has two for each core at least: a job
+    with half as many still keeps all cores busy.
     """
     session = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(session, max(4, table(spark, sf_dir, "events").rdd.getNumPartitions()))
+    least = 2 * spark.sparkContext.defaultParallelism if kind is ProcessorJob else 4
+    return min(session, max(least, table(spark, sf_dir, "events").rdd.getNumPartitions()))
 
 
 def _job(kind, spark, sf_dir, backend, scale=1.0, **more):
     """Makes a job of ``kind`` with ``scale`` times the usual partitions."""
-    partitions = max(1, int(scale * _partitions(spark, sf_dir)))
+    partitions = max(1, int(scale * _partitions(spark, sf_dir, kind)))
 
     def make(stream, savepoint=None):
         home = fresh_dir(spark, "job")
