@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from keyfold.workdir import fresh_dir, materialize  # noqa: F401
 
 #: Bytes of text an Arrow operator works on at a time; a longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def per_worker(name: tuple, make: Callable[[], Any]) -> Any:

@@ -94,3 +94,13 @@ def test_hostile_rows(spark, sf_dir, tmp_path):
     empty = docs.limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_work_on_texts_holds_about_a_mebibyte():
+    """What a worker makes of a piece is many times its text, and stays with the worker's process."""
+    import pyarrow as pa
+
+    from keyfold.llm.frames import slices
+
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 600_000, "y" * 600_000, None, "z" * 300_000, "w" * 5_000_000]})
+    assert [[t and t[0] for t in part["text"].to_pylist()] for part in slices(batch, "text")] == [["x"], ["y", None, "z"], ["w"]]
