@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .frames import SIGNS, flat_bytes, flat_words, materialize, own_names, slices, table
+from .frames import SIGNS, flat_bytes, flat_words, local_rows, materialize, own_names, slices, small_batches, table
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -113,7 +113,7 @@ def positional_index(documents: DataFrame, vocabulary: list[str] | None = None)
                 n += 1
 
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return materialize(texts.mapInArrow(build, INDEX_SCHEMA), "index")
+    return materialize(small_batches(texts).mapInArrow(build, INDEX_SCHEMA), "index")
 
 
 def term_counts(index: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def matches(index: DataFrame, wanted: Phrases, slack: int = 0) -> DataFrame:
         raise ValueError(f"slack must be from 0 to {_GAP - wanted.windows.shape[1] - 1}")
     spark = index.sparkSession
     # At most the different words of one block.
-    vocabulary = spark.createDataFrame([(t,) for t in wanted.terms], "term string")
+    vocabulary = local_rows(spark, term=pa.array(wanted.terms, pa.string()))
     counts = dict(map(tuple, term_counts(index).join(F.broadcast(vocabulary), "term", "left_semi").collect()))
     often = np.array([counts.get(t, 0) for t in wanted.terms] + [1 << 60])
     found = (often[wanted.windows] > 0).all(1)

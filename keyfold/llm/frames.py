@@ -17,6 +17,9 @@ from keyfold.workdir import fresh_dir, materialize  # noqa: F401
 
 #: Bytes of text an Arrow operator works on at a time; a longer text is worked on alone.
 SLICE_BYTES = 1 << 20
+#: Bytes of rows that Spark hands to a Python worker at a time, if the session has no bound of its own.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def per_worker(name: tuple, make: Callable[[], Any]) -> Any:
@@ -32,6 +35,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(rows: DataFrame) -> DataFrame:
+    """The rows, for work on whole texts in Python: from here on their session hands rows over
+    ``BATCH_BYTES`` at a time, or one that is longer, and not 10,000 of whatever length. The JVM
+    and the worker hold a batch once or twice each, and keep the room that it took."""
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) is None:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return rows
+
+
+def local_rows(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A small table of the driver. Made of Arrow columns: rows of Python objects would be read by
+    Python workers of a kind of their own, which stay on every executor beside the others."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def own_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """For a function of documents that gives back their columns and adds helpers, named with
     two underscores, on its way: columns of the documents with such names are set aside in a

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
-from .frames import SPACES, flat_bytes, flat_words, materialize, numbered, own_names, per_worker, renamed, slices, table
+from .frames import SPACES, flat_bytes, flat_words, materialize, numbered, own_names, per_worker, renamed, slices, small_batches, table
 from .suffix_dedup import packed
 
 BANDS, ROWS = 40, 5
@@ -139,7 +139,7 @@ def signatures(texts: DataFrame, n: int) -> DataFrame:
                     [part["id"], pa.array(sizes), pa.array(content.view(np.int64)), pa.array(bands, schema.field("bands").type), pa.array(raw, pa.binary())], schema=schema
                 )
 
-    return texts.mapInArrow(sign, "id long, n_shingles long, content long, bands array<long>, signature binary")
+    return small_batches(texts).mapInArrow(sign, "id long, n_shingles long, content long, bands array<long>, signature binary")
 
 
 def chance(matches: int, compared: int, similarity: float) -> float:

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .frames import LOWER, byte_set, flat_bytes, materialize, per_worker, ranked, slices, table
+from .frames import LOWER, byte_set, flat_bytes, local_rows, materialize, per_worker, ranked, slices, small_batches, table
 
 CAPACITY = 2048
 UNIT = 64
@@ -193,7 +193,7 @@ def pieces(
 
     columns = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     spark_schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return columns.mapInArrow(cut, spark_schema)
+    return small_batches(columns).mapInArrow(cut, spark_schema)
 
 
 def best_pattern(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -292,7 +292,8 @@ def pack(
     lengths = np.array([n for n, _ in histogram], np.int64)
     plan = column_generation(lengths, np.array([n for _, n in histogram], np.int64), capacity)
     rows = pattern_rows(lengths, plan)
-    places = spark.createDataFrame(rows, "length long, first long, end long, each long, sequence long, base long")
+    columns = zip(*rows) if rows else [()] * 6
+    places = local_rows(spark, **{k: pa.array(c, pa.int64()) for k, c in zip(("length", "first", "end", "each", "sequence", "base"), columns)})
     at = ranked(cut, ["length"], ["doc_id", "start", "ids_crc32"], "__rank")
     inside = F.col("__rank") - F.col("first")
     return (

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .frames import SPACES, byte_set, flat_bytes, flat_words, materialize, own_names, slices, table
+from .frames import SPACES, byte_set, flat_bytes, flat_words, materialize, own_names, slices, small_batches, table
 from .linear import fit_dense, platt, sigmoid
 from .toxicity import bounded, held_out, in_order, labels_of
 
@@ -108,7 +108,7 @@ def described(documents: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("double").alias("n_chars"),
         _hashed("source").alias("source"), _hashed("lang").alias("lang"),
     )
-    return rows.mapInArrow(measure, "doc_id long, content array<float>, page array<float>, source int, lang int")
+    return small_batches(rows).mapInArrow(measure, "doc_id long, content array<float>, page array<float>, source int, lang int")
 
 
 def _matrix(column) -> np.ndarray:
@@ -230,7 +230,7 @@ def good_documents(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_
     rows = documents.withColumns({
         "__text": F.col("text").cast("string"), "__chars": F.col("n_chars").cast("double"), "__source": _hashed("source"), "__lang": _hashed("lang"),
     })
-    return rows.mapInArrow(keep, documents.schema)
+    return small_batches(rows).mapInArrow(keep, documents.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .difference_cover import equal_neighbours, sort_suffixes
-from .frames import flat_bytes, materialize, numbered, own_names, per_worker, renamed, slices, table
+from .frames import flat_bytes, materialize, numbered, own_names, per_worker, renamed, slices, small_batches, table
 
 LENGTH = 100
 GRAM = 24
@@ -143,7 +143,7 @@ def all_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     again[1:] = (b[1:] == b[:-1]) & (c[1:] == c[:-1])
                     yield _batch(_RUNS, b.view(np.int64), c.view(np.int64), doc[order], at[order], n[order], again)
 
-    return texts.mapInArrow(cut, "bucket long, content long, id long, start long, n int, again boolean")
+    return small_batches(texts).mapInArrow(cut, "bucket long, content long, id long, start long, n int, again boolean")
 
 
 _FOUND = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("repeat", pa.bool_())])
@@ -207,7 +207,7 @@ def packed(texts: DataFrame) -> DataFrame:
                 z = [press.compress(data[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(z, pa.binary())], schema=schema)
 
-    return texts.mapInArrow(shrink, "id long, z binary")
+    return small_batches(texts).mapInArrow(shrink, "id long, z binary")
 
 
 _BYTES = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("raw", pa.binary())])

@@ -104,3 +104,49 @@ def test_work_on_texts_holds_about_a_mebibyte():
 
     batch = pa.RecordBatch.from_pydict({"text": ["x" * 600_000, "y" * 600_000, None, "z" * 300_000, "w" * 5_000_000]})
     assert [[t and t[0] for t in part["text"].to_pylist()] for part in slices(batch, "text")] == [["x"], ["y", None, "z"], ["w"]]
+
+
+def test_whole_texts_go_to_workers_some_megabytes_at_a_time(spark, sf_dir):
+    """A batch of 10,000 long texts is held by the JVM and by the worker, which keep the room."""
+    import pyarrow as pa
+
+    from keyfold.llm import decontamination, frames, near_duplicates, packing, suffix_dedup
+
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    docs = spark.range(0, 4_000, 1, 1).selectExpr("id doc_id", "id", "repeat('some words ', 300) text", "'en' lang", "'s' source", "3300l n_chars")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    stages = [
+        lambda: q.described(docs), lambda: q.good_documents(docs, labels), lambda: near_duplicates.signatures(docs, 5), lambda: suffix_dedup.packed(docs),
+        lambda: suffix_dedup.all_runs(docs, 100, 24), lambda: packing.pieces(docs), lambda: decontamination.positional_index(docs.limit(5), ["some"]),
+    ]
+    try:
+        for stage in stages:
+            spark.conf.unset(key)
+            stage()
+            found = docs.select("text").mapInArrow(size, "n long, bytes long").collect()
+            assert sum(r.n for r in found) == 4_000 and max(r.bytes for r in found) < 2 * frames.BATCH_BYTES
+        spark.conf.set(key, "123456")  # a bound of the session's own stays
+        packing.pieces(docs)
+        assert spark.conf.get(key) == "123456"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_tables_of_the_driver_need_no_python_worker(spark, sf_dir, capsys):
+    """Rows made of Python objects are read by Python workers of their own, beside those of the operators."""
+    from keyfold.llm import decontamination
+    from keyfold.llm.frames import local_rows
+
+    docs = spark.createDataFrame([(1, "a few words"), (2, None)], "doc_id long, text string")
+    read = materialize(docs, "docs")
+    p.packing(spark, read, sf_dir).explain()
+    told = capsys.readouterr().out
+    assert "LocalTableScan" in told and "ExistingRDD" not in told
+    terms = local_rows(spark, term=decontamination.pa.array(["a", "few"], "string"))
+    terms.explain()
+    assert "ExistingRDD" not in capsys.readouterr().out and [r.term for r in terms.collect()] == ["a", "few"]
